@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontaminate, jaccard, pack
+from millrace.llm import decontaminate, jaccard, pack, suffix_dedup
 from millrace.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,3 +74,26 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT v, min(c) AS component_id FROM r
 """
 QUERIES["op2_ngram_jaccard_join"] = op2_ngram_jaccard_join
 ORACLES["op2_ngram_jaccard_join"] = OP2_SQL
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.without_repeats(table(spark, sf_dir, "documents")))
+
+
+OP10_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, h[2 * p + 1:2 * p + 100] AS s FROM (SELECT doc_id, h, unnest(generate_series(0, len(h) // 2 - 50)) AS p FROM d WHERE len(h) >= 100)),
+m AS (SELECT hash(s) AS s, min(doc_id) AS least FROM w GROUP BY 1 HAVING min(doc_id) < max(doc_id)),
+c AS (SELECT w.doc_id, w.p FROM w JOIN m ON hash(w.s) = m.s WHERE w.doc_id > m.least),
+r AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run
+  FROM (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS fresh FROM c)),
+x AS (SELECT doc_id, run, min(p) AS a, max(p) + 50 AS b FROM r GROUP BY 1, 2),
+g AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM x),
+k AS (SELECT g.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(h[2 * before + 1:2 * a], '' ORDER BY a) AS kept
+  FROM g JOIN d USING (doc_id) GROUP BY g.doc_id)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN k.doc_id IS NULL THEN h ELSE kept || h[2 * last + 1:] END)) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+QUERIES["op10_suffix_dedup"] = op10_suffix_dedup
+ORACLES["op10_suffix_dedup"] = OP10_SQL
