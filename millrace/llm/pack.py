@@ -7,8 +7,10 @@ without knowing of the other workers; nothing is shuffled.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +20,13 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import inputs
 
-#: Words whose ids a worker remembers; beyond that it starts afresh.
-CACHE_WORDS = 400_000
+#: Texts between spaces, and words without their punctuation, whose ids a worker remembers; beyond that it starts afresh.
+CACHE_CHUNKS, CACHE_WORDS = 400_000, 800_000
+#: Marks that, after a letter or digit, are ids of their own whatever stands before them.
+MARKS = ".,!?;:%&$*#)"
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 NAMES = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
-_CACHES: dict[str, dict[str, bytes]] = {}
+_CACHES: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
 
 
 @lru_cache(4)
@@ -32,23 +36,56 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(1)
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 for itself, then from U+0100 on."""
+    plain = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
+
+
+def encode(path: str, words: list[str]) -> Iterator[tuple[str, bytes]]:
+    """Ids of words; a plain lower-case word goes to the vocabulary's model directly, past steps that leave it as it is."""
+    model, letters = tokenizer(path).model, byte_letters()
+    others = []
+    for w in words:
+        if w.isalpha() and w == w.lower() and (w.isascii() or is_normalized("NFC", w)):
+            spelt = w if w.isascii() else w.encode().decode("latin-1").translate(letters)
+            yield w, array("I", [t.id for t in model.tokenize(spelt)]).tobytes()
+        else:
+            others.append(w)
+    for i in range(0, len(others), 20_000):
+        part = others[i : i + 20_000]
+        for w, e in zip(part, tokenizer(path).encode_batch_fast(part, add_special_tokens=False), strict=True):
+            yield w, array("I", e.ids).tobytes()
+
+
 def word_ids(path: str, texts: list[str]) -> list[bytes]:
-    """Ids of each text as little-endian 32-bit numbers.
+    """Ids of each text as 32-bit numbers of the machine's order (little-endian here).
 
     The vocabulary's pre-tokenizer drops white space and never joins what stands on both its
-    sides, so the ids of a text are those of its words in order; each distinct word is encoded once.
+    sides, nor a letter or digit with a mark after it, and case doesn't count: so the ids of a text are
+    those of its words and marks in order, and each distinct word is encoded once.
     """
-    cache = _CACHES.setdefault(path, {})
+    chunks, words = _CACHES.setdefault(path, ({}, {}))
     split = [t.replace("\n", " ").split(" ") for t in texts]
-    new = list({w for words in split for w in words} - cache.keys())
-    if len(cache) + len(new) > CACHE_WORDS:
-        cache.clear()
-        new = list({w for words in split for w in words})
-    for i in range(0, len(new), 20_000):
-        part = new[i : i + 20_000]
-        for w, e in zip(part, tokenizer(path).encode_batch_fast(part, add_special_tokens=False), strict=True):
-            cache[w] = np.array(e.ids, "<u4").tobytes()
-    return [b"".join(map(cache.__getitem__, words)) for words in split]
+    new = {c for found in split for c in found}
+    if len(chunks) + len(new) > CACHE_CHUNKS:
+        chunks.clear()
+    new -= chunks.keys()
+    parts = []
+    for c in new:
+        core = c.rstrip(MARKS)
+        if len(core) == len(c) or not core or not core[-1].isalnum():
+            core = c
+        parts.append((c, core.lower() if core.isascii() and "<" not in core else core, c[len(core) :]))
+    if len(words) + len(new) > CACHE_WORDS:
+        words.clear()
+    todo = list({w for _, core, tail in parts for w in (core, tail)} - words.keys())
+    words.update(encode(path, todo))
+    for c, core, tail in parts:
+        chunks[c] = words[core] + words[tail]
+    return [b"".join(map(chunks.__getitem__, found)) for found in split]
 
 
 @lru_cache(8)
