@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontaminate, jaccard, pack, suffix_dedup
+from pyspark.sql import functions as F
+
+from millrace.llm import decontaminate, fixity, jaccard, line_rules, pack, shards, suffix_dedup
 from millrace.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,3 +99,51 @@ FROM d LEFT JOIN k USING (doc_id)
 """
 QUERIES["op10_suffix_dedup"] = op10_suffix_dedup
 ORACLES["op10_suffix_dedup"] = OP10_SQL
+
+
+def op3_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.assign(table(spark, sf_dir, "documents"))
+
+
+def damaged(pages: DataFrame) -> DataFrame:
+    """A replica to audit: about one page in a hundred is altered, and as many are lost."""
+    draw = F.crc32(F.col("page_id").cast("string")) % 100
+    html = F.when(draw == 7, F.concat(F.lit("#"), F.coalesce("html", F.lit("")))).otherwise(F.col("html"))
+    return pages.where(F.coalesce(draw != 8, F.lit(True))).select("page_id", "url", html.alias("html"))
+
+
+def op4_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return fixity.audit(pages, damaged(pages))
+
+
+def op7_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.line_rules(table(spark, sf_dir, "documents")).select("doc_id", *line_rules.COUNTS, "base_failed", "kept")
+
+
+OP7_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, host, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w FROM d),
+g AS (SELECT r, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT r, w, unnest(generate_series(1, len(w) - 7)) AS i FROM w WHERE len(w) >= 8)),
+gg AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM g),
+rep AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest(generate_series(i, i + 7)) AS p FROM gg WHERE c > 1) GROUP BY r),
+l AS (SELECT r, host, t, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS lw
+  FROM (SELECT r, host, t, unnest(string_split(t, chr(10))) AS line FROM d)),
+ll AS (SELECT r, host, t, line, array_to_string(lw, ' ') AS norm, len(lw) AS words FROM l WHERE len(lw) > 0),
+dup AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM ll GROUP BY r),
+held AS (SELECT host, norm, count(DISTINCT t) AS holders FROM ll GROUP BY 1, 2),
+hosts AS (SELECT host, count(DISTINCT t) AS texts FROM d GROUP BY 1),
+flag AS (SELECT held.host, norm FROM held JOIN hosts USING (host) WHERE holders > 20 AND holders > 0.1 * texts),
+lost AS (SELECT r, sum(words) AS lost FROM ll JOIN flag USING (host, norm) GROUP BY r),
+f AS (
+  SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(len(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, coalesce(lost, 0) AS lost
+  FROM w LEFT JOIN rep USING (r) LEFT JOIN dup USING (r) LEFT JOIN lost USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_words - lost >= 20 AND n_words - lost >= 0.5 * n_words AS kept
+FROM f
+"""
+QUERIES |= {"op3_label_propagation_shards": op3_label_propagation_shards, "op4_merkle_fixity": op4_merkle_fixity, "op7_line_frequency_rules": op7_line_frequency_rules}
+ORACLES["op7_line_frequency_rules"] = OP7_SQL
