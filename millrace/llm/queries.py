@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, fixity, jaccard, line_rules, pack, shards, suffix_dedup
+from millrace.llm import decontaminate, extract, fixity, jaccard, line_rules, pack, quotes, shards, suffix_dedup, toxicity
 from millrace.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -145,5 +145,20 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_words - lost >= 20 AND n_words - lost >= 0.5 * n_words AS kept
 FROM f
 """
+
+
+def op5_crf_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op6_bigru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link_quotes(table(spark, sf_dir, "conversations"))
+
+
+QUERIES |= {"op5_crf_extraction": op5_crf_extraction, "op6_bigru_toxicity": op6_bigru_toxicity, "op8_quotation_linking": op8_quotation_linking}
 QUERIES |= {"op3_label_propagation_shards": op3_label_propagation_shards, "op4_merkle_fixity": op4_merkle_fixity, "op7_line_frequency_rules": op7_line_frequency_rules}
 ORACLES["op7_line_frequency_rules"] = OP7_SQL
