@@ -17,14 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import BASE, column_bytes, discard, inputs, materialize, mix, prefix_hashes, span_hash, steps
-from millrace.llm.keygroups import MOST, answers, buckets_for, dealt, in_order, key_counts
+from millrace.llm.keygroups import answers, buckets_for, dealt, in_order, key_counts
 
 #: Bytes to lower case (A-Z), and which bytes are part of words.
 LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
 IN_WORD = np.array([not (b == 0x20 or 0x09 <= b <= 0x0D) for b in range(256)])
-#: Parts of the n-gram space that the suffix filter compares, and hubs per prefix n-gram.
-PARTS, HUBS = 16, 4
-ROW = "doc_id long, n long, set_key binary, keys array<long>, pos array<int>, shared array<long>, parts array<int>"
+#: Bits of a set's parity map, which the suffix filter compares, and hubs per prefix n-gram.
+BITS, HUBS = 512, 4
+ROW = "doc_id long, n long, set_key binary, keys array<long>, pos array<int>, shared array<long>, bits array<long>"
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,11 +97,11 @@ def described(docs: DataFrame, width: int, threshold: int) -> DataFrame:
                 rows.append((n, key, None, None, None, None))
                 continue
             order = np.lexsort((own, often))
-            parts = np.bincount((own >> np.uint64(60)).astype(np.int64), minlength=PARTS)
-            rows.append((n, key, own[order[single:prefix]].view(np.int64), np.arange(single, prefix, dtype=np.int32), own[often > 1].view(np.int64), parts.astype(np.int32)))
+            parity = np.bincount((own % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+            rows.append((n, key, own[order[single:prefix]].view(np.int64), np.arange(single, prefix, dtype=np.int32), own[often > 1].view(np.int64), np.packbits(parity.astype(np.uint8)).view(np.int64)))
         cols = list(zip(*rows, strict=True))
-        kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
-        names = ["n", "set_key", "keys", "pos", "shared", "parts"]
+        kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        names = ["n", "set_key", "keys", "pos", "shared", "bits"]
         return pa.table({"doc_id": table.column("doc_id")} | {n: pa.array(list(c), k) for n, c, k in zip(names, cols, kinds, strict=True)})
 
     return groups.groupBy("g").cogroup(counts.groupBy("g")).applyInArrow(describe, ROW)
@@ -141,7 +141,8 @@ def may_link(threshold: int, x: str, y: str) -> Column:
     need = least_overlap(threshold, n, m)
     length = (100 * F.least(n, m)) >= threshold * F.greatest(n, m)
     positional = 1 + F.least(n - F.col(f"{x}.pos") - 1, m - F.col(f"{y}.pos") - 1) >= need
-    apart = F.aggregate(F.zip_with(F.col(f"{x}.parts"), F.col(f"{y}.parts"), lambda p, q: F.abs(p - q)), F.lit(0), lambda s, d: s + d)
+    # Each n-gram in one set alone turns one bit, so the bits that differ bound those n-grams from below.
+    apart = sum((F.bit_count(F.col(f"{x}.bits")[k].bitwiseXOR(F.col(f"{y}.bits")[k])) for k in range(BITS // 64)), F.lit(0))
     return length & positional & (n + m - apart >= 2 * need)
 
 
@@ -157,19 +158,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80) -> Dat
     """
     rows = materialize(described(docs, width, threshold), "sets")
     sets = materialize(
-        rows.where("keys IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "keys", "pos", "shared", "parts")]), "classes"
+        rows.where("keys IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "keys", "pos", "shared", "bits")]), "classes"
     )
-    posting = sets.select("set_key", "n", "parts", F.explode(F.arrays_zip("keys", "pos")).alias("p")).select(F.col("p.keys").alias("key"), F.col("p.pos").alias("pos"), "set_key", "n", "parts")
+    posting = sets.select("set_key", "n", "bits", F.explode(F.arrays_zip("keys", "pos")).alias("p")).select(F.col("p.keys").alias("key"), F.col("p.pos").alias("pos"), "set_key", "n", "bits")
     hubs = None
     for seed in range(HUBS):
-        least = posting.groupBy("key").agg(F.min(F.struct(F.xxhash64("set_key", F.lit(seed)).alias("h"), "set_key", "n", "pos", "parts")).alias("hub")).select("key", "hub.*")
+        least = posting.groupBy("key").agg(F.min(F.struct(F.xxhash64("set_key", F.lit(seed)).alias("h"), "set_key", "n", "pos", "bits")).alias("hub")).select("key", "hub.*")
         met = posting.alias("x").join(least.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.set_key") != F.col("y.set_key")) & may_link(threshold, "x", "y"))
         met = met.select(F.least("x.set_key", "y.set_key").alias("a"), F.greatest("x.set_key", "y.set_key").alias("b"))
         hubs = met if hubs is None else hubs.union(met)
     edges = materialize(verified(hubs.distinct(), sets, threshold), "links")
     labels = components(edges)
     # Pairs that the hubs' links leave apart.
-    known = posting.join(labels, F.col("set_key") == F.col("v"), "left").select("key", "pos", "set_key", "n", "parts", F.coalesce("label", "set_key").alias("label"))
+    known = posting.join(labels, F.col("set_key") == F.col("v"), "left").select("key", "pos", "set_key", "n", "bits", F.coalesce("label", "set_key").alias("label"))
     mixed = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
     known = known.join(mixed, "key")
     apart = known.alias("x").join(known.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.set_key") < F.col("y.set_key")) & (F.col("x.label") != F.col("y.label")) & may_link(threshold, "x", "y"))
