@@ -1,7 +1,7 @@
 """Counting content keys over all documents without a row per key.
 
 Documents are dealt to groups of a few MB by id. A group sends its distinct keys, packed, to
-buckets by key range; a bucket adds up what all groups sent and answers each with one byte per
+buckets by key range; a bucket adds up what all groups sent and answers each with a count per
 key, in the order sent. A group thus learns which of its keys occur elsewhere, and two passes over
 the texts replace a shuffle of all keys. A key costs at most one entry per group, however often
 it occurs, so that no bucket grows with a hot key.
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 #: Bytes of text in a group, and keys in a bucket.
 GROUP_BYTES = 4 << 20
 BUCKET_KEYS = 500_000
-#: Counts end here.
-MOST = 255
+#: Counts end here: in what a group sends, and in what it is told.
+SENT_MOST, MOST = 255, 65535
 
 
 def dealt(source: DataFrame, group_bytes: int = GROUP_BYTES) -> tuple[DataFrame, int]:
@@ -47,7 +47,7 @@ def in_order(table: pa.Table) -> pa.Table:
 
 
 def key_counts(groups: DataFrame, keys_of: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], buckets: int) -> DataFrame:
-    """(g, bucket, counts): for each group's sorted distinct keys, bytes with their count over all groups.
+    """(g, bucket, counts): for each group's sorted distinct keys, 16-bit counts over all groups.
 
     ``keys_of`` gives a group's sorted distinct 64-bit keys and how often each counts there. Keys
     of a bucket are told apart by 32 bits, so a count may be too high, never too low.
@@ -59,7 +59,7 @@ def key_counts(groups: DataFrame, keys_of: Callable[[pa.Table], tuple[np.ndarray
         own = bucket_of(keys, buckets)
         cut = np.flatnonzero(np.diff(own)) + 1
         edges = [0, *cut.tolist(), len(keys)] if len(keys) else [0]
-        low, counts = keys.astype(np.uint32), np.minimum(counts, MOST).astype(np.uint8)
+        low, counts = keys.astype(np.uint32), np.minimum(counts, SENT_MOST).astype(np.uint8)
         rows = [(int(own[a]), low[a:b].tobytes(), counts[a:b].tobytes()) for a, b in zip(edges, edges[1:], strict=False)]
         return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int64()), "g": pa.array([g] * len(rows), pa.int64()), "keys": pa.array([r[1] for r in rows], pa.binary()), "counts": pa.array([r[2] for r in rows], pa.binary())})
 
@@ -67,7 +67,7 @@ def key_counts(groups: DataFrame, keys_of: Callable[[pa.Table], tuple[np.ndarray
         sent = [np.frombuffer(x, np.uint32) for x in table.column("keys").to_pylist()]
         counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8)
         _, place = np.unique(np.concatenate(sent), return_inverse=True)
-        total = np.minimum(np.bincount(place, weights=counts), MOST).astype(np.uint8)[place]
+        total = np.minimum(np.bincount(place, weights=counts), MOST).astype(np.uint16)[place]
         edges = np.cumsum([0, *map(len, sent)]).tolist()
         return pa.table({"g": table.column("g"), "bucket": table.column("bucket"), "counts": pa.array([total[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)], pa.binary())})
 
@@ -78,4 +78,4 @@ def key_counts(groups: DataFrame, keys_of: Callable[[pa.Table], tuple[np.ndarray
 def answers(table: pa.Table) -> np.ndarray:
     """What ``key_counts`` returned for a group, in the order of its sorted keys."""
     table = table.sort_by("bucket")
-    return np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8)
+    return np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint16)

@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from millrace.llm.common import MIX_A, STEP_BYTES, column_bytes, inputs, mix, prefix_hashes, span_hash
 from millrace.llm.keygroups import answers, bucket_of, buckets_for, dealt, in_order, key_counts
 
-#: Bytes of an anchor; and the count of an anchor over all groups from which its strings are keyed by themselves.
-GRAM, COMMON = 20, 128
+#: Bytes of an anchor. From FREQUENT on, of its count over all groups, an anchor's fragments are keyed by a longer
+#: gram; from COMMON on each of its strings is keyed by itself, so that no bucket grows with a common anchor.
+GRAM, FREQUENT, COMMON = 20, 1000, 20_000
 NULL_ID = np.iinfo(np.int64).min
 SEED = np.uint64(0x2545F4914F6CDD1D)
 
@@ -174,6 +175,23 @@ def covered(fragments: list[bytes], keys: np.ndarray, docs: np.ndarray, width: i
     return o[hit], offset[order][hit]
 
 
+def halves(prefix: np.ndarray, start: int, end: int, anchor: int, width: int, gram: int) -> list[tuple[int, int, int]]:
+    """(start, end, key) of the strings that reach ``side`` bytes before the anchor, and of the others, which reach
+    as far behind it; each is keyed by the longer gram that all its strings hold."""
+    side = (width - gram) // 2
+    out = []
+    # A string that starts at x holds text[anchor - side : anchor + gram] if x <= anchor - side.
+    last = min(end - width, anchor - side)
+    if last >= start:
+        out.append((start, last + width, anchor - side))
+    first = max(start, anchor - side + 1)
+    if first <= end - width:
+        out.append((first, end, anchor))
+    at = np.array([x for _, _, x in out])
+    keys = mix(span_hash(prefix, at, at + gram + side)).tolist()
+    return [(x, y, key) for (x, y, _), key in zip(out, keys, strict=True)]
+
+
 def repeated_spans(groups: DataFrame, size: int, width: int, gram: int) -> DataFrame:
     """(g, spans): packed byte ranges of a group's rows that are covered by strings of smaller documents."""
     expected = size * 2 // (width - gram + 2)
@@ -215,8 +233,10 @@ def repeated_spans(groups: DataFrame, size: int, width: int, gram: int) -> DataF
             raw = own.tobytes()
             for k in use.tolist():
                 row, s, e = int(rows[k]), int(a[k]), int(b[k]) + width
-                if often[k] < COMMON:
+                if often[k] < FREQUENT:
                     parts = [(s, e, int(key[k]))]
+                elif often[k] < COMMON:
+                    parts = halves(prefix, s, e, int(anchor[k]), width, gram)
                 else:
                     at = np.arange(s, e - width + 1)
                     parts = [(x, x + width, y) for x, y in zip(at.tolist(), mix(span_hash(prefix, at, at + width)).tolist(), strict=True)]
@@ -237,7 +257,7 @@ def repeated_spans(groups: DataFrame, size: int, width: int, gram: int) -> DataF
             bucket = bucket_of(to, buckets)
             order = np.argsort(bucket, kind="stable")
             meta = np.zeros((len(kept), 5), np.int64)
-            meta[:, 0] = to.view(np.int64)
+            meta[:, 0] = to.astype(np.uint32)
             for j, values in enumerate(([len(x[1]) for x in kept], *([x[i] for x in kept] for i in (2, 3, 4)))):
                 meta[:, j + 1] = values
             for k in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
