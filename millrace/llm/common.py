@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from millrace.session import ship
+from millrace.session import discard, materialize, shared_dir, ship
+
+__all__ = ["discard", "materialize", "shared_dir", "ship"]
 
 #: Bytes of text that one step of a task works on at once; a longer text is a step of its own.
 STEP_BYTES = 2 << 20
@@ -22,37 +23,20 @@ MIX_A = 0xBF58476D1CE4E5B9
 MIX_B = 0x94D049BB133111EB
 
 
-def inputs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
-    """Only the columns an operator reads, so that others, whatever their names, can't clash."""
+def inputs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = (), keep: tuple[str, ...] = ()) -> DataFrame:
+    """Only the columns an operator reads, so that others, whatever their names, can't clash.
+
+    ``keep``: columns to carry along untouched, as one struct ``rest``.
+    """
     ship(df.sparkSession)
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c) for c in extra])
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one where the session names none (local runs)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="millrace-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a DataFrame to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/millrace-{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Remove the files of a table that ``materialize`` wrote and nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/millrace-" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    rest = [F.struct(*keep).alias("rest")] if keep else []
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c) for c in extra], *rest)
+
+
+def with_rest(ddl: str, source: DataFrame) -> T.StructType:
+    """A schema with the carried struct of ``source``, if it has one, at its end."""
+    schema = T.StructType.fromDDL(ddl)
+    return schema.add(source.schema["rest"]) if "rest" in source.columns else schema
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import column_bytes, inputs, steps
+from millrace.llm.common import column_bytes, inputs, steps, with_rest
 
 SPACE, STOP = 0x20, 0xFF
 #: Bytes to their normal form: A-Z to lower case, word bytes kept, the others a space.
@@ -160,25 +160,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_
     id are one item. Each row of ``docs`` gives one row, in any number of repeats; a null doc_id
     stays null. The benchmark's tables are broadcast only up to ``block_bytes`` of its text; a
     larger one is split in blocks of that size, searched one by one, whose hits are joined.
-    ``keep``: columns of ``docs`` to carry along.
+    ``keep``: columns of ``docs`` to carry along, as a struct ``rest``.
     """
     spark = docs.sparkSession
     items = inputs(benchmark, "item_id").withColumnRenamed("doc_id", "item_id").where("item_id IS NOT NULL AND text IS NOT NULL")
     found = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     blocks = max(1, -(-(found[0] + 64 * found[1]) // block_bytes))
-    source = inputs(docs, extra=tuple(c for c in keep if c not in ("doc_id", "text")))
-    carried = [f for f in source.schema.fields if f.name in keep and f.name != "doc_id"]
-    schema = ", ".join([RESULT, *[f"`{f.name}` {f.dataType.simpleString()}" for f in carried]])
+    source = inputs(docs, keep=keep)
+    schema = with_rest(RESULT, source)
     if blocks > 1:
         source = source.withColumn("row_key", F.monotonically_increasing_id())
-        carried = [*carried, source.schema["row_key"]]
-        schema += ", row_key long"
+        schema = schema.add("row_key", "long")
+    carried = tuple(schema.fieldNames()[4:])
     parts = []
     for k in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else items
         tables = spark.sparkContext.broadcast(build([(str(r.item_id), r.text.encode()) for r in own.toLocalIterator()], width))
 
-        def run(batches: Iterator[pa.RecordBatch], tables=tables, names=tuple(f.name for f in carried)) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], tables=tables, names=carried) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 data, offsets = column_bytes(batch.column("text"))
                 for a, b in steps(offsets):
@@ -194,7 +193,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_
     for p in parts[1:]:
         out = out.union(p)
     merged = out.groupBy("row_key").agg(
-        *[F.first(c, ignorenulls=True).alias(c) for c in ("doc_id", "n_words", *[f.name for f in carried if f.name != "row_key"])],
+        *[F.first(c, ignorenulls=True).alias(c) for c in ("doc_id", "n_words", *carried[:-1])],
         F.flatten(F.collect_list("spans")).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
     )

@@ -24,12 +24,12 @@ SENT_MOST, MOST = 255, 65535
 
 
 def dealt(source: DataFrame, group_bytes: int = GROUP_BYTES) -> tuple[DataFrame, int]:
-    """(g, doc_id, text) with the number of groups fit to the bytes of text, and those bytes."""
+    """(g, doc_id, text, and rest if there) with the number of groups fit to the bytes of text, and those bytes."""
     found = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     size = found[0] + 100 * found[1]
     groups = max(1, -(-size // group_bytes))
     g = F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(groups))
-    return source.select(g.alias("g"), "doc_id", "text"), size
+    return source.select(g.alias("g"), *source.columns), size
 
 
 def buckets_for(keys: int, per_bucket: int = BUCKET_KEYS) -> int:

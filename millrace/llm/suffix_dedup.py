@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import MIX_A, STEP_BYTES, column_bytes, inputs, mix, prefix_hashes, span_hash
+from millrace.llm.common import MIX_A, STEP_BYTES, column_bytes, inputs, mix, prefix_hashes, span_hash, with_rest
 from millrace.llm.keygroups import answers, bucket_of, buckets_for, dealt, in_order, key_counts
 
 #: Bytes of an anchor. From FREQUENT on, of its count over all groups, an anchor's fragments are keyed by a longer
@@ -315,16 +315,19 @@ def merge(spans: np.ndarray) -> np.ndarray:
     return np.stack([rows[lead], starts[lead], reach[last] - rows[lead] * room])
 
 
-def without_repeats(docs: DataFrame, width: int = 50, gram: int = GRAM) -> DataFrame:
+def without_repeats(docs: DataFrame, width: int = 50, gram: int = GRAM, as_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_bytes, spans, kept) for every row of ``docs``.
 
     Texts are UTF-8 bytes; a null text is empty. ``spans`` lists the maximal runs removed: bytes
     covered by a string of ``width`` bytes that also starts in a document with a smaller doc_id,
     judged on the whole input; ``kept`` is the rest. Rows that share a doc_id don't remove
     from each other; a null doc_id counts as smaller than all others. Texts shorter than
-    ``width`` lose nothing. Column names beside doc_id and text don't matter.
+    ``width`` lose nothing. Column names beside doc_id and text don't matter. ``as_text``:
+    ``kept`` is text, without the bytes of characters that a cut splits. ``keep``: columns of ``docs``
+    to carry along, as a struct ``rest``.
     """
-    groups, size = dealt(inputs(docs))
+    groups, size = dealt(inputs(docs, keep=keep))
+    schema = with_rest(f"doc_id long, n_bytes long, spans array<struct<start:long,length:long>>, kept {'string' if as_text else 'binary'}", groups)
     spans = repeated_spans(groups, size, width, gram)
 
     def apply(table: pa.Table, found: pa.Table) -> pa.Table:
@@ -338,11 +341,14 @@ def without_repeats(docs: DataFrame, width: int = 50, gram: int = GRAM) -> DataF
             text = data[offsets[r] : offsets[r + 1]].tobytes()
             own = list(zip(starts[edges[r] : edges[r + 1]].tolist(), ends[edges[r] : edges[r + 1]].tolist(), strict=True))
             cuts = [0, *[x for pair in own for x in pair], len(text)]
-            kept.append(b"".join(text[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True)))
+            left = b"".join(text[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True))
+            kept.append(left.decode("utf-8", "ignore") if as_text else left)
             removed.append([{"start": a, "length": b - a} for a, b in own])
-        return pa.table({"doc_id": table.column("doc_id"), "n_bytes": pa.array(np.diff(offsets)), "spans": pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))), "kept": pa.array(kept, pa.binary())})
+        spans_type = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
+        cols = {"doc_id": table.column("doc_id"), "n_bytes": pa.array(np.diff(offsets)), "spans": pa.array(removed, spans_type), "kept": pa.array(kept, pa.string() if as_text else pa.binary())}
+        return pa.table(cols | {c: table.column(c) for c in schema.fieldNames()[4:]})
 
-    return groups.groupBy("g").cogroup(spans.groupBy("g")).applyInArrow(apply, "doc_id long, n_bytes long, spans array<struct<start:long,length:long>>, kept binary")
+    return groups.groupBy("g").cogroup(spans.groupBy("g")).applyInArrow(apply, schema)
 
 
 def digest(found: DataFrame) -> DataFrame:

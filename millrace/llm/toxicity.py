@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import BASE, column_bytes, inputs, mix, prefix_hashes, span_hash, steps
+from millrace.llm.common import BASE, column_bytes, inputs, mix, prefix_hashes, span_hash, steps, with_rest
 
 #: Labelled rows to fit on, at most, of either label; longer texts are not fitted on.
 FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 1500, 3000, 20_000
@@ -355,16 +355,17 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = FIT_TOXIC, most_clean: int = FIT_CLEAN) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = FIT_TOXIC, most_clean: int = FIT_CLEAN, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs``.
 
     The network is fitted on the driver on at most ``most_toxic`` and ``most_clean`` labelled texts of up to FIT_CHARS
     characters, drawn by a hash of their ids, none of them held out (crc32 of the id modulo 5 is 0;
     a null id isn't). Every window of every whole text is scored. A null or empty text has one
     empty window, so all of these score alike. Repeated rows score alike; column names beside
-    doc_id and text don't matter.
+    doc_id and text don't matter. ``keep``: columns of ``docs`` to carry along, as a struct ``rest``.
     """
-    source = inputs(docs)
+    source = inputs(docs, keep=keep)
+    schema = with_rest("doc_id long, score double", source)
     found = sample(docs, labels, most_toxic, most_clean)
     model = docs.sparkSession.sparkContext.broadcast(fit([t for t, _ in found], [y for _, y in found]))  # of a fixed size
 
@@ -377,7 +378,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = FIT_TOXIC, mo
                     score = np.full(b - a, m.constant)
                 else:
                     score = sigmoid(m.slope * text_logits(m, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]).astype(np.float64) + m.level)
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(a, b - a), "score": pa.array(score, pa.float64())})
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "score": pa.array(score, pa.float64())} | {c: part.column(c) for c in schema.fieldNames()[2:]})
 
-    scored = source.mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = source.mapInArrow(run, schema)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *schema.fieldNames()[2:])
