@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from millrace.functions import bins, convert, scalar, times
-from millrace.operators import combine, learn, rows, shape, stats
+from millrace.functions import bins, convert, json_edit, scalar, times
+from millrace.operators import combine, learn, rows, shape, stats, templates
 from millrace.session import table
 from millrace.sources import tables
 from millrace.streaming import windows
@@ -212,6 +212,17 @@ def convert_units(spark, d):
     return p.select("p_partkey", convert.memk(c("a")).alias("kb"), convert.num(c("b")).alias("plain"), convert.rmunit(c("b")).alias("units"))
 
 
+@query()
+def patterns_templates(spark, d):
+    return templates.counted(table(spark, d, "pages").select("url"), "url")
+
+
+@query("SELECT event_id, '{\"k\":' || json_extract_string(props, '$.k') || ',\"seen\":[1,2]}' AS props FROM events")
+def json_edits(spark, d):
+    e = table(spark, d, "events")
+    return e.select("event_id", json_edit.json_extend(json_edit.json_set(c("props"), ("seen", [1])), ("seen", "[2]")).alias("props"))
+
+
 # Joins and lookups
 
 
