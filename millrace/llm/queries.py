@@ -84,7 +84,8 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP10_SQL = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (SELECT doc_id, p, h[2 * p + 1:2 * p + 100] AS s FROM (SELECT doc_id, h, unnest(generate_series(0, len(h) // 2 - 50)) AS p FROM d WHERE len(h) >= 100)),
+c0 AS (SELECT doc_id, k, h[2000 * k + 1:2000 * k + 2098] AS part FROM (SELECT doc_id, h, unnest(generate_series(0, (len(h) // 2 - 50) // 1000)) AS k FROM d WHERE len(h) >= 100)),
+w AS (SELECT doc_id, 1000 * k + q AS p, part[2 * q + 1:2 * q + 100] AS s FROM (SELECT doc_id, k, part, unnest(generate_series(0, len(part) // 2 - 50)) AS q FROM c0)),
 m AS (SELECT hash(s) AS s, min(doc_id) AS least FROM w GROUP BY 1 HAVING min(doc_id) < max(doc_id)),
 c AS (SELECT w.doc_id, w.p FROM w JOIN m ON hash(w.s) = m.s WHERE w.doc_id > m.least),
 r AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run
@@ -107,7 +108,7 @@ def op3_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def damaged(pages: DataFrame) -> DataFrame:
     """A replica to audit: about one page in a hundred is altered, and as many are lost."""
-    draw = F.crc32(F.col("page_id").cast("string")) % 100
+    draw = F.col("page_id") % 100
     html = F.when(draw == 7, F.concat(F.lit("#"), F.coalesce("html", F.lit("")))).otherwise(F.col("html"))
     return pages.where(F.coalesce(draw != 8, F.lit(True))).select("page_id", "url", html.alias("html"))
 
@@ -117,6 +118,21 @@ def op4_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixity.audit(pages, damaged(pages))
 
 
+OP4_SQL = """
+WITH r AS (
+  SELECT page_id, 'WARC/1.1' || e || 'WARC-Type: resource' || e || 'WARC-Record-ID: <urn:page:' || page_id || '>' || e || 'WARC-Target-URI: ' || coalesce(url, '') || e || 'Content-Type: text/html' || e
+    || 'Content-Length: ' || strlen(coalesce(html, '')) || e || e || coalesce(html, '') || e || e AS rec
+  FROM pages, (SELECT chr(13) || chr(10) AS e)),
+l AS (SELECT page_id, page_id // 1000 AS file_id, page_id % 1000 AS slot, CAST(strlen(rec) AS BIGINT) AS length, sha256(rec) AS hash FROM r),
+p1 AS (SELECT file_id, slot // 16 AS up, sha256(string_agg(sha256(hash), '' ORDER BY slot)) AS h FROM l GROUP BY 1, 2),
+p2 AS (SELECT file_id, up // 16 AS up, sha256(string_agg(h, '' ORDER BY up)) AS h FROM p1 GROUP BY 1, p1.up // 16),
+p3 AS (SELECT file_id, sha256(string_agg(h, '' ORDER BY up)) AS file_root FROM p2 GROUP BY 1)
+SELECT page_id, file_id, row_number() OVER w - 1 AS record_index, CAST(coalesce(sum(length) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS record_offset, length AS record_length, hash AS record_sha256, file_root,
+  CASE page_id % 100 WHEN 7 THEN 'corrupt' WHEN 8 THEN 'missing' ELSE 'intact' END AS state
+FROM l JOIN p3 USING (file_id) WINDOW w AS (PARTITION BY file_id ORDER BY page_id)
+"""
+
+
 def op7_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.line_rules(table(spark, sf_dir, "documents")).select("doc_id", *line_rules.COUNTS, "base_failed", "kept")
 
@@ -161,4 +177,4 @@ def op8_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES |= {"op5_crf_extraction": op5_crf_extraction, "op6_bigru_toxicity": op6_bigru_toxicity, "op8_quotation_linking": op8_quotation_linking}
 QUERIES |= {"op3_label_propagation_shards": op3_label_propagation_shards, "op4_merkle_fixity": op4_merkle_fixity, "op7_line_frequency_rules": op7_line_frequency_rules}
-ORACLES["op7_line_frequency_rules"] = OP7_SQL
+ORACLES |= {"op4_merkle_fixity": OP4_SQL, "op7_line_frequency_rules": OP7_SQL}
