@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, extract, fixity, jaccard, line_rules, pack, quotes, shards, suffix_dedup, toxicity
@@ -25,38 +24,6 @@ def op1_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.digest(pack.pack(table(spark, sf_dir, "documents"), vocabulary_path()))
 
 
-def op9_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return decontaminate.report(found)
-
-
-OP9_SQL = """
-WITH d AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w FROM documents),
-b AS (
-  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
-bw AS (
-  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS win
-  FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS i FROM b WHERE len(w) > 0)),
-ns AS (SELECT DISTINCT n FROM bw),
-dw AS (
-  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS win
-  FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, ns WHERE len(w) >= n)),
-occ AS (SELECT dw.doc_id, dw.i, dw.n, bw.item_id FROM dw JOIN bw USING (n, win)),
-hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM occ) GROUP BY doc_id),
-its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM occ) GROUP BY doc_id)
-SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
-"""
-
-QUERIES: dict[str, Query] = {
-    "op1_harmonic_packing": op1_harmonic_packing,
-    "op9_wu_manber_decontamination": op9_wu_manber_decontamination,
-}
-ORACLES: dict[str, str] = {"op9_wu_manber_decontamination": OP9_SQL}
-
-
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -74,32 +41,6 @@ r AS (SELECT doc_id AS v, doc_id AS c FROM documents UNION SELECT r.v, e.y FROM
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT v, min(c) AS component_id FROM r GROUP BY v) m ON m.v = d.doc_id
 """
-QUERIES["op2_ngram_jaccard_join"] = op2_ngram_jaccard_join
-ORACLES["op2_ngram_jaccard_join"] = OP2_SQL
-
-
-def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.digest(suffix_dedup.without_repeats(table(spark, sf_dir, "documents")))
-
-
-OP10_SQL = """
-WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-c0 AS (SELECT doc_id, k, h[2000 * k + 1:2000 * k + 2098] AS part FROM (SELECT doc_id, h, unnest(generate_series(0, (len(h) // 2 - 50) // 1000)) AS k FROM d WHERE len(h) >= 100)),
-w AS (SELECT doc_id, 1000 * k + q AS p, part[2 * q + 1:2 * q + 100] AS s FROM (SELECT doc_id, k, part, unnest(generate_series(0, len(part) // 2 - 50)) AS q FROM c0)),
-m AS (SELECT hash(s) AS s, min(doc_id) AS least FROM w GROUP BY 1 HAVING min(doc_id) < max(doc_id)),
-c AS (SELECT w.doc_id, w.p FROM w JOIN m ON hash(w.s) = m.s WHERE w.doc_id > m.least),
-r AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run
-  FROM (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS fresh FROM c)),
-x AS (SELECT doc_id, run, min(p) AS a, max(p) + 50 AS b FROM r GROUP BY 1, 2),
-g AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM x),
-k AS (SELECT g.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(h[2 * before + 1:2 * a], '' ORDER BY a) AS kept
-  FROM g JOIN d USING (doc_id) GROUP BY g.doc_id)
-SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
-  sha256(unhex(CASE WHEN k.doc_id IS NULL THEN h ELSE kept || h[2 * last + 1:] END)) AS kept_sha256
-FROM d LEFT JOIN k USING (doc_id)
-"""
-QUERIES["op10_suffix_dedup"] = op10_suffix_dedup
-ORACLES["op10_suffix_dedup"] = OP10_SQL
 
 
 def op3_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,6 +74,14 @@ FROM l JOIN p3 USING (file_id) WINDOW w AS (PARTITION BY file_id ORDER BY page_i
 """
 
 
+def op5_crf_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op6_bigru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.line_rules(table(spark, sf_dir, "documents")).select("doc_id", *line_rules.COUNTS, "base_failed", "kept")
 
@@ -163,18 +112,63 @@ FROM f
 """
 
 
-def op5_crf_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.extract(table(spark, sf_dir, "pages"))
+def op8_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link_quotes(table(spark, sf_dir, "conversations"))
 
 
-def op6_bigru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+def op9_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.report(found)
 
 
-def op8_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotes.link_quotes(table(spark, sf_dir, "conversations"))
+OP9_SQL = """
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+bw AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS win
+  FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS i FROM b WHERE len(w) > 0)),
+ns AS (SELECT DISTINCT n FROM bw),
+dw AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS win
+  FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, ns WHERE len(w) >= n)),
+occ AS (SELECT dw.doc_id, dw.i, dw.n, bw.item_id FROM dw JOIN bw USING (n, win)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM occ) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM occ) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.without_repeats(table(spark, sf_dir, "documents")))
+
+
+OP10_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c0 AS (SELECT doc_id, k, h[2000 * k + 1:2000 * k + 2098] AS part FROM (SELECT doc_id, h, unnest(generate_series(0, (len(h) // 2 - 50) // 1000)) AS k FROM d WHERE len(h) >= 100)),
+w AS (SELECT doc_id, 1000 * k + q AS p, part[2 * q + 1:2 * q + 100] AS s FROM (SELECT doc_id, k, part, unnest(generate_series(0, len(part) // 2 - 50)) AS q FROM c0)),
+m AS (SELECT hash(s) AS s, min(doc_id) AS least FROM w GROUP BY 1 HAVING min(doc_id) < max(doc_id)),
+c AS (SELECT w.doc_id, w.p FROM w JOIN m ON hash(w.s) = m.s WHERE w.doc_id > m.least),
+r AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run
+  FROM (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS fresh FROM c)),
+x AS (SELECT doc_id, run, min(p) AS a, max(p) + 50 AS b FROM r GROUP BY 1, 2),
+g AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM x),
+k AS (SELECT g.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(h[2 * before + 1:2 * a], '' ORDER BY a) AS kept
+  FROM g JOIN d USING (doc_id) GROUP BY g.doc_id)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN k.doc_id IS NULL THEN h ELSE kept || h[2 * last + 1:] END)) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
 
 
-QUERIES |= {"op5_crf_extraction": op5_crf_extraction, "op6_bigru_toxicity": op6_bigru_toxicity, "op8_quotation_linking": op8_quotation_linking}
-QUERIES |= {"op3_label_propagation_shards": op3_label_propagation_shards, "op4_merkle_fixity": op4_merkle_fixity, "op7_line_frequency_rules": op7_line_frequency_rules}
-ORACLES |= {"op4_merkle_fixity": OP4_SQL, "op7_line_frequency_rules": OP7_SQL}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_harmonic_packing, op2_ngram_jaccard_join, op3_label_propagation_shards, op4_merkle_fixity, op5_crf_extraction, op6_bigru_toxicity, op7_line_frequency_rules, op8_quotation_linking, op9_wu_manber_decontamination, op10_suffix_dedup)}
+ORACLES: dict[str, str] = {
+    "op2_ngram_jaccard_join": OP2_SQL,
+    "op4_merkle_fixity": OP4_SQL,
+    "op7_line_frequency_rules": OP7_SQL,
+    "op9_wu_manber_decontamination": OP9_SQL,
+    "op10_suffix_dedup": OP10_SQL,
+}
