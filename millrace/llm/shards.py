@@ -63,7 +63,9 @@ def propagate(linked: DataFrame, shards: int, capacity: list[int], rounds: int)
     for turn in range(rounds):
         votes = state.groupBy("grp", "shard").agg(F.count("*").alias("votes"))
         most = votes.groupBy("grp").agg(F.max(F.struct("votes", (-F.col("shard")).alias("low"))).alias("best"), F.sum("votes").alias("members"))
-        wish = state.join(most.select("grp", (-F.col("best.low")).alias("to"), "members"), "grp")
+        # Written first, so that both sides of the join are shuffled and Spark can split a large group's rows.
+        most = materialize(most.select("grp", (-F.col("best.low")).alias("to"), "members"), "most")
+        wish = state.join(most, "grp")
         found = wish.groupBy("shard", "to").agg(F.count("*").alias("n")).collect()  # shards squared rows at most
         load = [sum(r.n for r in found if r.shard == s) for s in range(shards)]
         wanted = {(r.shard, r.to): r.n for r in found if r.shard != r.to}
@@ -89,7 +91,7 @@ def assign(docs: DataFrame, shards: int = 16, rounds: int = 4) -> DataFrame:
     rows = materialize(source.withColumn("salt", F.monotonically_increasing_id()), "rows")
     n = rows.count()
     target = [n // shards + (s < n % shards) for s in range(shards)]
-    groups = rows.where("grp IS NOT NULL").groupBy("grp").agg(F.count("*").alias("m")).where("m > 1").select("grp")
+    groups = materialize(rows.where("grp IS NOT NULL").groupBy("grp").agg(F.count("*").alias("m")).where("m > 1").select("grp"), "groups")
     linked = rows.join(groups, "grp").select("doc_id", "salt", "grp")
     state = propagate(linked, shards, target, rounds).select("doc_id", "salt", "shard")
     ranked = numbered(state, n, ["shard"])
