@@ -48,7 +48,12 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
     fresh[offsets] = True
     before, after = np.concatenate([[False], inside]), np.concatenate([inside, [False]])
     starts, ends = np.flatnonzero(after & (~before | fresh)), np.flatnonzero(before & (~after | fresh))
-    keys = mix(span_hash(prefix_hashes(data), starts, ends) + (ends - starts).astype(np.uint64))
+    edges = np.searchsorted(starts, offsets)
+    keys = np.zeros(len(starts), np.uint64)
+    for a, b in steps(offsets):
+        own = slice(edges[a], edges[b])
+        keys[own] = span_hash(prefix_hashes(data[offsets[a] : offsets[b]]), starts[own] - offsets[a], ends[own] - offsets[a])
+    keys = mix(keys + (ends - starts).astype(np.uint64))
     known, first, codes = np.unique(keys, return_index=True, return_inverse=True)
     # The distinct words end to end, each between two spaces, so that n-grams know where words begin and end.
     size = (ends - starts)[first] + 2
@@ -56,7 +61,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
     own = np.repeat(starts[first] - (stop - size) - 1, size) + np.arange(stop[-1] if len(stop) else 0)
     spelt = data[np.clip(own, 0, max(0, len(data) - 1))] if len(data) else data
     spelt[stop - size], spelt[stop - 1] = 0x20, 0x20
-    return Words(codes.astype(np.int32), np.searchsorted(starts, offsets), (known % np.uint64(WORD_ROWS)).astype(np.int32), spelt, stop - size, stop)
+    return Words(codes.astype(np.int32), edges, (known % np.uint64(WORD_ROWS)).astype(np.int32), spelt, stop - size, stop)
 
 
 def word_keys(w: Words) -> np.ndarray:
