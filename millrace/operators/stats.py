@@ -109,14 +109,14 @@ def per(value: Column, seconds: int, every: int, unit: str) -> Column:
     return F.sum(value) * F.lit(float(seconds)) / F.lit(float(length))
 
 
-def timewrap(charted: DataFrame, name: str, every: int = 1, unit: str = "d", time: str = "row", most: int = 100) -> DataFrame:
-    """Fold the rows of a time chart into periods, one column for each, newest first ("latest", "1 before", ...)."""
+def timewrap(charted: DataFrame, name: str, every: int = 1, unit: str = "d", time: str = "row") -> DataFrame:
+    """Fold the rows of a time chart into periods, one column for each that has rows, newest first ("latest", "1 before", ...). Rows without a time go."""
     length = every * {"h": 3600, "d": 86400, "w": 604800}[unit]
     sec = F.unix_seconds(col(time).cast("timestamp"))
     folded = charted.withColumn("__p", F.floor(sec / length)).withColumn("__o", F.timestamp_seconds(F.pmod(sec, F.lit(length))))
     last = charted.agg(F.floor(F.max(sec) / length).alias("__last"))
-    folded = folded.crossJoin(F.broadcast(last)).withColumn("__age", F.col("__last") - F.col("__p")).where(F.col("__age") < most)
-    ages = sorted(r[0] for r in folded.select("__age").distinct().collect())  # most rows
+    folded = folded.crossJoin(F.broadcast(last)).withColumn("__age", F.col("__last") - F.col("__p")).where(F.col("__age").isNotNull())
+    ages = sorted(r[0] for r in folded.select("__age").distinct().collect())  # a row for each column of the result
     out = folded.groupBy("__o").pivot("__age", ages).agg(F.first(name))
     return out.select(F.date_format("__o", "HH:mm:ss" if length <= 86400 else "dd HH:mm:ss").alias("offset"), *[col(str(a)).alias("latest" if a == 0 else f"{a} before") for a in ages])
 
