@@ -24,7 +24,11 @@ from millrace.session import table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return toxicity.toxicity(docs, table(spark, sf_dir, "labels"), keep=tuple(docs.columns)).where("predicted = 0").select("rest.*")
+    """All rows stay where the labels are too few, or of one kind, to learn from."""
+    model = toxicity.fitted(docs, table(spark, sf_dir, "labels"))
+    if model.constant is not None:
+        return docs
+    return toxicity.scored(docs, model, keep=tuple(docs.columns)).where("predicted = 0").select("rest.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,6 +20,8 @@ from millrace.llm.common import BASE, column_bytes, inputs, mix, prefix_hashes,
 
 #: Labelled rows to fit on, at most, of either label; longer texts are not fitted on.
 FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 1500, 3000, 20_000
+#: Labelled texts below which no network is fitted.
+LEAST_TEXTS = 8
 WINDOW, STRIDE, HIDDEN, EMBED = 64, 32, 8, 6
 TABLE = 1 << 18
 WORD_ROWS = 4096
@@ -314,10 +316,10 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 4, seed: int = 7) -> M
     The network first learns from windows rich in evidence, then, round by round, from the windows that it
     scores highest, which corrects the clean ones among them.
 
-    With one label only, or none, every score is the share of toxic texts.
+    With fewer than LEAST_TEXTS texts, or one label only, nothing is learned: the model is a constant, the share of toxic texts.
     """
     y = np.array(toxic, bool)
-    if len(y) < 8 or y.all() or not y.any():
+    if len(y) < LEAST_TEXTS or y.all() or not y.any():
         return Model(constant=float(y.mean()) if len(y) else 0.0)
     rnd = np.random.default_rng(seed)
     apart = (rnd.random(len(y)) < 0.25) & (len(y) >= 1000)
@@ -360,6 +362,12 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 
 
+def fitted(docs: DataFrame, labels: DataFrame, most_toxic: int = FIT_TOXIC, most_clean: int = FIT_CLEAN) -> Model:
+    """The model of the labelled texts of ``docs``; a constant where they are too few or of one label."""
+    found = sample(docs, labels, most_toxic, most_clean)
+    return fit([t for t, _ in found], [y for _, y in found])
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = FIT_TOXIC, most_clean: int = FIT_CLEAN, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs``.
 
@@ -368,11 +376,18 @@ def toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = FIT_TOXIC, mo
     a null id isn't). Every window of every whole text is scored. A null or empty text has one
     empty window, so all of these score alike. Repeated rows score alike; column names beside
     doc_id and text don't matter. ``keep``: columns of ``docs`` to carry along, as a struct ``rest``.
+
+    With fewer than LEAST_TEXTS (8) such texts, or one label only, no network is fitted and every row scores the
+    share of toxic ones, which says nothing about a text.
     """
+    return scored(docs, fitted(docs, labels, most_toxic, most_clean), keep)
+
+
+def scored(docs: DataFrame, fit_model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``toxicity`` by a model that is there already."""
     source = inputs(docs, keep=keep)
     schema = with_rest("doc_id long, score double", source)
-    found = sample(docs, labels, most_toxic, most_clean)
-    model = docs.sparkSession.sparkContext.broadcast(fit([t for t, _ in found], [y for _, y in found]))  # of a fixed size
+    model = docs.sparkSession.sparkContext.broadcast(fit_model)  # of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
@@ -386,5 +401,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = FIT_TOXIC, mo
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "score": pa.array(score, pa.float64())} | {c: part.column(c) for c in schema.fieldNames()[2:]})
 
-    scored = source.mapInArrow(run, schema)
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *schema.fieldNames()[2:])
+    return source.mapInArrow(run, schema).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *schema.fieldNames()[2:])

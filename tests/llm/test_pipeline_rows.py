@@ -1,0 +1,18 @@
+"""Pipeline stages on tables with few labels."""
+
+import pytest
+
+
+def read_back(spark, df, path):
+    df.write.parquet(str(path))
+    return spark.read.parquet(str(path))
+
+
+@pytest.mark.parametrize("labels", [[(0, 1, 1), (1, 1, 1), (2, 1, 0)], [(k, 1, 1) for k in range(20)], []])
+def test_nothing_learned_nothing_dropped(spark, tmp_path, labels):
+    import corpus_pipeline
+
+    docs = read_back(spark, spark.createDataFrame([(k, f"clean text {k}", "en", "s", 12) for k in range(30)], "doc_id long, text string, lang string, source string, n_chars long"), tmp_path / "docs")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = corpus_pipeline.reject_toxic(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == list(range(30))
