@@ -1,7 +1,7 @@
 """A training corpus from raw documents: five stages, each written and read again by the next.
 
 toxicity: documents that the network rejects go.
-near_duplicates: of each component of near-duplicate documents the one with the least doc_id stays.
+near_duplicates: of each component of near-duplicate rows one with the least doc_id stays.
 repeated_passages: passages of 50 bytes and more that stand in an earlier document are cut out.
 decontamination: documents with a window of a benchmark item go.
 packing: the rest becomes sequences of 4096 tokens.
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, jaccard, pack, suffix_dedup, toxicity
-from millrace.llm.common import shared_dir
+from millrace.llm.common import materialize, shared_dir
 from millrace.llm.queries import vocabulary_path
 from millrace.session import table
 
@@ -32,10 +32,21 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that share a doc_id count as one document; rows without one, or without words, stay."""
-    found = jaccard.near_duplicates(docs)
-    gone = found.where("n_shingles > 0 AND component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """Of each component one row stays, of the least doc_id (null last); rows without words stay.
+
+    Rows, not ids, are told apart, by their file and place in it, so ``docs`` must be read from Parquet.
+    """
+    paths = sorted(r[0] for r in docs.select("_metadata.file_path").distinct().collect())
+    files = spark.createDataFrame(list(enumerate(paths)), "__file long, __path string")
+    placed = docs.select("*", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__at"))
+    keyed = placed.join(F.broadcast(files), "__path").withColumn("__row", F.col("__file") * (1 << 40) + F.col("__at"))  # a row for each file
+    found = jaccard.near_duplicates(keyed.select(F.col("__row").alias("doc_id"), "text"))
+    found = materialize(found.where("n_shingles > 0").select(F.col("doc_id").alias("__row"), "component_id"), "near")
+    several = found.where("component_id <> __row").select("component_id").distinct()
+    members = materialize(found.join(several, "component_id").join(keyed.select("__row", "doc_id"), "__row"), "members")
+    best = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__row")).alias("best")).select("best.__row")
+    gone = members.select("__row").join(best, "__row", "left_anti")
+    return keyed.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

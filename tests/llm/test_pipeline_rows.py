@@ -1,4 +1,4 @@
-"""Pipeline stages on tables with few labels."""
+"""Pipeline stages on tables with few labels, and with repeated and null ids."""
 
 import pytest
 
@@ -16,3 +16,17 @@ def test_nothing_learned_nothing_dropped(spark, tmp_path, labels):
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     out = corpus_pipeline.reject_toxic(spark, docs, str(tmp_path))
     assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == list(range(30))
+
+
+def test_near_duplicates_by_row(spark, tmp_path):
+    import corpus_pipeline
+
+    text = {k: " ".join(f"{k}{j}" for j in range(40)) for k in "abcdef"}
+    rows = [(1, text["a"]), (1, text["a"]), (2, text["a"] + " end"), (None, text["b"]), (None, text["b"] + " end"), (None, text["c"]), (5, text["c"]), (3, text["d"]), (7, text["e"]), (7, text["d"] + " end"), (8, text["f"]), (None, None), (9, ""), (9, "")]
+    docs = read_back(spark, spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3), tmp_path / "docs")
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert out.dtypes == docs.dtypes
+    one_of = [r for r in got if r[1] in (text["b"], text["b"] + " end")]
+    want = [(1, text["a"]), (5, text["c"]), (3, text["d"]), (7, text["e"]), (8, text["f"]), (None, None), (9, ""), (9, "")]
+    assert len(one_of) == 1 and sorted(map(str, got)) == sorted(map(str, want + one_of))
