@@ -9,9 +9,13 @@ SECONDS = {"s": 1, "m": 60, "h": 3600, "d": 86400}
 
 
 def span(c: Column, n: float, unit: str | None = None) -> Column:
-    """The start of the span that holds a number or, with a unit (us ms s m h d w M q y), a time (UTC, without zone)."""
+    """The start of the span that holds a number or, with a unit (us ms s m h d w M q y), a time (UTC, without zone).
+
+    Integers are divided toward zero (span(-7, 5) is -5), other numbers downward (span(-7.0, 5) is -10).
+    """
     if unit is None:
-        return F.floor(c / F.lit(n)) * F.lit(n)
+        whole = F.typeof(c).isin("tinyint", "smallint", "int", "bigint") & F.lit(float(n).is_integer())
+        return F.when(whole, (c - c % F.lit(n)) * F.lit(1)).otherwise(F.floor(c / F.lit(n)) * F.lit(n))
     t = c.cast("timestamp")
     if unit in ("us", "ms"):
         size = int(n) * (1 if unit == "us" else 1000)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ipaddress
+import re
+from json import loads
 
 import pandas as pd
 from pyspark.sql import Column
@@ -22,9 +24,10 @@ def modulus(a: Column, b: Column) -> Column:
 
 
 def truncate(c: Column, d: int = 0) -> Column:
-    """Toward zero after ``d`` places."""
+    """Toward zero after ``d`` places, on the number as it is written (1.15 stays 1.15)."""
     scale = F.lit(10.0**d)
-    return F.signum(c) * F.floor(F.abs(c) * scale) / scale
+    exact = F.floor(F.when(F.abs(c) < 1e14, F.abs(c)).cast("decimal(30,15)"), F.lit(d)).cast("double")
+    return F.signum(c) * F.coalesce(exact, F.floor(F.abs(c) * scale) / scale)
 
 
 def root(c: Column) -> Column:
@@ -81,7 +84,7 @@ def tostring(c: Column, form: str | None = None) -> Column:
     if form == "hex":
         return F.lower(F.hex(c.cast("long")))
     if form == "commas":
-        return F.format_number(c.cast("double"), "#,##0.##")
+        return F.call_function("format_number", c.cast("double"), F.lit("#,##0.##"))
     if form == "duration":
         s = c.cast("long")
         return F.format_string("%02d:%02d:%02d", F.floor(s / 3600), F.floor(F.pmod(s, F.lit(3600)) / 60), F.pmod(s, F.lit(60)))
@@ -178,8 +181,27 @@ def split(c: Column, delim: str) -> Column:
 # JSON
 
 
+def no_constant(name: str) -> None:
+    raise ValueError(f"{name} is no JSON")
+
+
 def json_valid(c: Column) -> Column:
-    return F.try_parse_json(c).isNotNull()
+    """Whether a text is one JSON value and nothing more; null for null. (Spark's own parsers pass over what follows a value.)"""
+
+    @F.pandas_udf("boolean")
+    def valid(texts: pd.Series) -> pd.Series:
+        def one(text):
+            if text is None:
+                return None
+            try:
+                loads(text, parse_constant=no_constant)
+            except ValueError:
+                return False
+            return True
+
+        return texts.map(one)
+
+    return valid(c)
 
 
 def json(c: Column) -> Column:
@@ -202,6 +224,52 @@ def json_extract(c: Column, *paths: str) -> Column:
     return found[0] if len(found) == 1 else F.to_json(F.array(*found), {"ignoreNullFields": "false"})
 
 
+def json_object(**parts: Column) -> Column:
+    """A JSON object of named values, nulls kept."""
+    return F.to_json(F.struct(*[v.alias(k) for k, v in parts.items()]), {"ignoreNullFields": "false"})
+
+
+def json_array(*parts: Column) -> Column:
+    """A JSON array of values of any types, nulls kept."""
+    one = [F.regexp_replace(F.to_json(F.struct(p.alias("v")), {"ignoreNullFields": "false"}), r'^\{"v":|\}$', "") for p in parts]
+    return F.concat(F.lit("["), F.concat_ws(",", *one), F.lit("]"))
+
+
+# Maps
+
+
+def map_append(m: Column, other: Column) -> Column:
+    """Two maps as one, with both values, as an array without nulls, of every key."""
+    merged = F.map_zip_with(m, other, lambda k, a, b: F.array_compact(F.array(a.cast("string"), b.cast("string"))))
+    return merged
+
+
+def map_concat(m: Column, other: Column) -> Column:
+    """Two maps as one; the other's values win."""
+    kept = F.map_filter(m, lambda k, v: ~F.array_contains(F.map_keys(other), k))
+    return F.map_concat(kept, other)
+
+
+def map_remove(m: Column, keys: list[str]) -> Column:
+    return F.map_filter(m, lambda k, v: ~k.isin(keys))
+
+
+def array(*parts: Column, mixed: bool = False) -> Column:
+    """An array; ``mixed``: of different types, all told as text."""
+    return F.array(*[p.cast("string") for p in parts]) if mixed else F.array(*parts)
+
+
+#: Spark's types and the dialect's names for them.
+TYPE_NAMES = {"tinyint": "BYTE", "smallint": "SHORT", "int": "INT", "bigint": "BIGINT", "float": "FLOAT", "double": "DOUBLE", "string": "STRING", "boolean": "BOOLEAN", "date": "DATE", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP", "binary": "BINARY", "void": "UNDEFINED"}
+
+
+def typeof(c: Column) -> Column:
+    """The dialect's name of a column's type; ARRAY, STRUCT and so on for the others."""
+    known = F.create_map(*[F.lit(x) for pair in TYPE_NAMES.items() for x in pair])
+    name = F.typeof(c)
+    return F.coalesce(F.try_element_at(known, name), F.upper(F.regexp_extract(name, r"^(\w+)", 1)))
+
+
 # Full text: lower-case tokens of letters and digits stand for a search engine's analyser.
 
 
@@ -210,29 +278,137 @@ def tokens(c: Column) -> Column:
 
 
 def words_in(query: str) -> list[str]:
-    import re
+    return [w for w in re.split(r"[^\w]+|_", query.lower()) if w]
 
-    return [w for w in re.split(r"[^\w]+", query.lower()) if w]
 
+#: No letter or digit before, and none after.
+BEFORE, AFTER = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 
-def match(c: Column, query: str, every: bool = False) -> Column:
-    """Any (or every) word of the query is among the tokens."""
-    own = F.array(*[F.lit(w) for w in words_in(query)])
-    return F.forall(own, lambda w: F.array_contains(tokens(c), w)) if every else F.arrays_overlap(tokens(c), own)
+
+def holds(c: Column, body: str, prefix: bool = False) -> Column:
+    """Whether the lower-cased text has the pattern as whole tokens; one pass over the text, without arrays."""
+    return F.lower(c).rlike(BEFORE + body + ("" if prefix else AFTER))
 
 
-def match_phrase(c: Column, query: str, prefix: bool = False) -> Column:
-    """The query's words one after the other; with ``prefix`` the last may be cut short."""
-    text = F.concat(F.lit(" "), F.array_join(tokens(c), " "), F.lit(" "))
-    return F.contains(text, F.lit(" " + " ".join(words_in(query)) + ("" if prefix else " ")))
+def match(c: Column, query: str, every: bool = False) -> Column:
+    """Any (or every) word of the query is among the tokens; a query without words matches nothing."""
+    words = words_in(query)
+    if not words:
+        return F.lit(False)
+    if not every:
+        return holds(c, "(?:" + "|".join(map(re.escape, words)) + ")")
+    out = holds(c, re.escape(words[0]))
+    for w in words[1:]:
+        out = out & holds(c, re.escape(w))
+    return out
 
 
-def multi_match(columns: list[Column], query: str) -> Column:
+def match_phrase(c: Column, query: str, prefix: bool = False, slop: int = 0) -> Column:
+    """The query's words one after the other, with up to ``slop`` other words between all of them; with ``prefix`` the last may be cut short."""
+    words = [re.escape(w) for w in words_in(query)]
+    if not words:
+        return F.lit(False)
+    gap = r"[^\p{L}\p{N}]+"
+    if not slop:
+        return holds(c, gap.join(words), prefix)
+    # Every way to share out the words between: few words and a small slop, so few ways.
+    ways = [[]]
+    for _ in words[1:]:
+        ways = [[*w, n] for w in ways for n in range(slop - sum(w) + 1)]
+    other = r"[\p{L}\p{N}]+" + gap
+    spelt = ["".join(x for n, w in zip([None, *way], words, strict=True) for x in (([gap + other * n] if n is not None else []) + [w])) for way in ways]
+    return holds(c, "(?:" + "|".join(spelt) + ")", prefix)
+
+
+def match_bool_prefix(c: Column, query: str) -> Column:
+    """Any word of the query is a token, or its last word begins one."""
+    words = [re.escape(w) for w in words_in(query)]
+    if not words:
+        return F.lit(False)
+    last = holds(c, words[-1], prefix=True)
+    return last | holds(c, "(?:" + "|".join(words[:-1]) + ")") if words[:-1] else last
+
+
+def multi_match(columns: list[Column], query: str, every: bool = False) -> Column:
     out = F.lit(False)
     for c in columns:
-        out = out | F.coalesce(match(c, query), F.lit(False))
+        out = out | F.coalesce(match(c, query, every), F.lit(False))
     return out
 
 
+def query_string(columns: dict[str, Column], query: str, every: bool = False) -> Column:
+    """A small query language over columns: words and "phrases", ``*`` and ``?`` inside words, ``name:word`` for one
+    column, AND, OR, NOT, + and - before a term, and brackets. Terms side by side are alternatives, or all needed if ``every``."""
+    parts = re.findall(r'\(|\)|[+-]?(?:\w+:)?"[^"]*"|[^\s()]+', query)
+    at = 0
+
+    def term(text: str) -> Column:
+        m = re.match(r"(\w+):(.*)$", text, re.S)
+        own = [columns[m.group(1)]] if m and m.group(1) in columns else list(columns.values())
+        word = m.group(2) if m and m.group(1) in columns else text
+        out = F.lit(False)
+        for c in own:
+            if word.startswith('"'):
+                one = match_phrase(c, word.strip('"'))
+            elif "*" in word or "?" in word:
+                spelt = re.escape(word.lower()).replace(r"\*", r"[\p{L}\p{N}]*").replace(r"\?", r"[\p{L}\p{N}]")
+                one = holds(c, spelt)
+            else:
+                one = match(c, word, every=True)
+            out = out | F.coalesce(one, F.lit(False))
+        return out
+
+    def single() -> Column:
+        nonlocal at
+        text = parts[at]
+        at += 1
+        if text == "NOT":
+            return ~single()
+        if text == "(":
+            inner = anything()
+            at += 1  # the closing bracket
+            return inner
+        return term(text.lstrip("+-")) if not text.startswith("-") else ~term(text[1:])
+
+    def anything() -> Column:
+        nonlocal at
+        must, may = [], []
+        while at < len(parts) and parts[at] != ")":
+            if parts[at] in ("OR", "||"):
+                at += 1
+                continue
+            needed = every or parts[at][0] in "+-" or parts[at] == "NOT"
+            one = single()
+            while at < len(parts) and parts[at] in ("AND", "&&"):
+                at += 1
+                one = one & single()
+            (must if needed else may).append(one)
+        out = F.lit(True)
+        for m in must:
+            out = out & m
+        if may and not must:
+            some = F.lit(False)
+            for m in may:
+                some = some | m
+            out = some
+        return out
+
+    return anything() if parts else F.lit(False)
+
+
 def wildcard_query(c: Column, pattern: str) -> Column:
-    return c.like(pattern.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_").replace("*", "%").replace("?", "_"))
+    """Whether the whole text fits: ``*`` stands for any text, ``?`` for a character; a backslash makes the next one plain."""
+    out, k = "", 0
+    while k < len(pattern):
+        one = pattern[k]
+        if one == "\\" and k + 1 < len(pattern):
+            k += 1
+            out += like_escape(pattern[k])
+        else:
+            out += {"*": "%", "?": "_"}.get(one) or like_escape(one)
+        k += 1
+    return c.like(out)
+
+
+def like_escape(one: str) -> str:
+    return "\\" + one if one in "%_\\" else one

@@ -172,3 +172,134 @@ def relative_time(now: Column, spec: str) -> Column:
         else:
             at = F.timestamp_add(UNITS[unit].upper(), F.lit(int(n or 1) * (-1 if sign == "-" else 1)), at)
     return at
+
+
+def moment(c: Column) -> Column:
+    """A time of text, date or timestamp; null for text that is none."""
+    return c.cast("string").try_cast("timestamp")
+
+
+def micros(c: Column) -> Column:
+    return F.unix_micros(moment(c))
+
+
+def microsecond(c: Column) -> Column:
+    """The microseconds of the second, from a time or from text such as 17:30:00.25."""
+    part = F.rpad(F.regexp_extract(c.cast("string"), r"\.(\d{1,6})", 1), 6, "0")
+    return F.coalesce(part.try_cast("int"), F.lit(0))
+
+
+#: Composite units and the parts that they put together, largest first.
+COMPOSITE = {
+    "SECOND_MICROSECOND": ["SECOND", "MICROSECOND"], "MINUTE_MICROSECOND": ["MINUTE", "SECOND", "MICROSECOND"], "MINUTE_SECOND": ["MINUTE", "SECOND"],
+    "HOUR_MICROSECOND": ["HOUR", "MINUTE", "SECOND", "MICROSECOND"], "HOUR_SECOND": ["HOUR", "MINUTE", "SECOND"], "HOUR_MINUTE": ["HOUR", "MINUTE"],
+    "DAY_MICROSECOND": ["DAY", "HOUR", "MINUTE", "SECOND", "MICROSECOND"], "DAY_SECOND": ["DAY", "HOUR", "MINUTE", "SECOND"], "DAY_MINUTE": ["DAY", "HOUR", "MINUTE"],
+    "DAY_HOUR": ["DAY", "HOUR"], "YEAR_MONTH": ["YEAR", "MONTH"],
+}
+
+
+def extract(unit: str, c: Column) -> Column:
+    """A part of a time as a number; composite units (DAY_HOUR, YEAR_MONTH, ...) are their parts' digits, two each, microseconds six."""
+    unit = unit.upper()
+    simple = {"MICROSECOND": microsecond, "SECOND": F.second, "MINUTE": F.minute, "HOUR": F.hour, "DAY": F.dayofmonth, "WEEK": week, "MONTH": F.month, "QUARTER": F.quarter, "YEAR": F.year}
+    if unit in simple:
+        return simple[unit](c).cast("long")
+    first, *rest = COMPOSITE[unit]
+    out = simple[first](c).cast("long")
+    for part in rest:
+        out = out * (1_000_000 if part == "MICROSECOND" else 100) + simple[part](c)
+    return out
+
+
+#: The formats that get_format names.
+FORMATS = {
+    ("DATE", "USA"): "%m.%d.%Y", ("DATE", "JIS"): "%Y-%m-%d", ("DATE", "ISO"): "%Y-%m-%d", ("DATE", "EUR"): "%d.%m.%Y", ("DATE", "INTERNAL"): "%Y%m%d",
+    ("TIME", "USA"): "%h:%i:%s %p", ("TIME", "JIS"): "%H:%i:%s", ("TIME", "ISO"): "%H:%i:%s", ("TIME", "EUR"): "%H.%i.%s", ("TIME", "INTERNAL"): "%H%i%s",
+    ("TIMESTAMP", "USA"): "%Y-%m-%d %H.%i.%s", ("TIMESTAMP", "JIS"): "%Y-%m-%d %H:%i:%s", ("TIMESTAMP", "ISO"): "%Y-%m-%d %H:%i:%s", ("TIMESTAMP", "EUR"): "%Y-%m-%d %H.%i.%s", ("TIMESTAMP", "INTERNAL"): "%Y%m%d%H%i%s",
+}
+
+
+def get_format(kind: str, place: str) -> str | None:
+    """The % letters of a place's date, time or timestamp; None for others."""
+    return FORMATS.get((kind.upper(), place.upper()))
+
+
+def from_unixtime(c: Column, fmt: str | None = None) -> Column:
+    """The time of seconds since 1970, fractions too, or its text; null for negative seconds."""
+    t = F.timestamp_micros((F.when(c >= 0, c).cast("decimal(28,6)") * 1_000_000).cast("long"))
+    return date_format(t, fmt) if fmt else t.cast("timestamp_ntz")
+
+
+def unix_timestamp(c: Column, numeric: bool = False) -> Column:
+    """Seconds since 1970 as a double; ``numeric``: of a number YYMMDD, YYYYMMDD, YYMMDDhhmmss or YYYYMMDDhhmmss."""
+    if not numeric:
+        return micros(c) / 1_000_000
+    digits = c.cast("long").cast("string")
+    short = F.length(digits).isin(5, 6, 11, 12)
+    n = F.when(short, F.lpad(digits, F.when(F.length(digits) <= 6, 6).otherwise(12), "0")).otherwise(digits)
+    century = F.when(F.substring(n, 1, 2).cast("int") < 70, "20").otherwise("19")
+    full = F.rpad(F.when(short, F.concat(century, n)).otherwise(n), 14, "0")
+    return F.unix_micros(F.try_to_timestamp(full, F.lit("yyyyMMddHHmmss"))) / 1_000_000
+
+
+def maketime(h: Column, m: Column, s: Column) -> Column:
+    """HH:mm:ss of rounded parts; null where a part is negative or minute or second is over 59."""
+    h, m = F.round(h).cast("int"), F.round(m).cast("int")
+    return F.when((h >= 0) & m.between(0, 59) & (s >= 0) & (s < 60), time_of(h * 3600 + m * 60 + F.floor(s).cast("int")))
+
+
+def time_format(c: Column, fmt: str) -> Column:
+    """Text of a time of day by the % letters of hours, minutes and seconds; days and months are zeros."""
+    zeros = {"c": "0", "d": "00", "e": "0", "m": "00", "Y": "0000", "y": "00"}
+    return date_format(c, re.sub(r"%(.)", lambda m: zeros.get(m.group(1), m.group(0)), fmt))
+
+
+def date_add(c: Column, n: int | Column, unit: str = "day") -> Column:
+    """A time plus so many units."""
+    return timestampadd(unit, n, moment(c)).cast("timestamp_ntz")
+
+
+def date_sub(c: Column, n: int, unit: str = "day") -> Column:
+    return date_add(c, -n, unit)
+
+
+def adddate(c: Column, days: int) -> Column:
+    return F.date_add(moment(c).cast("date"), days)
+
+
+def subtime(c: Column, time: Column) -> Column:
+    return addtime(c, time_of(-seconds_of(time)))
+
+
+def datetime(c: Column, zone: str | None = None) -> Column:
+    """A time of text, whose own offset (+03:00 at its end) is undone, told in ``zone``; null where it can't be read."""
+    t = moment(c)
+    return (F.from_utc_timestamp(t, zone) if zone else t).cast("timestamp_ntz")
+
+
+def timestamp(c: Column, time: Column | None = None) -> Column:
+    """A time of text or a date, plus a time of day."""
+    t = moment(c).cast("timestamp_ntz")
+    return t if time is None else addtime(t, time)
+
+
+def time(c: Column) -> Column:
+    """The time of day as text, HH:mm:ss and the fraction where there is one."""
+    return F.regexp_replace(F.date_format(moment(c), "HH:mm:ss.SSSSSS"), r"\.0+$|(?<=\.\d{0,5}[1-9])0+$", "")
+
+
+def sec_to_time(c: Column) -> Column:
+    return time_of(c.cast("long"))
+
+
+def time_to_sec(c: Column) -> Column:
+    return seconds_of(F.date_format(moment(c), "HH:mm:ss"))
+
+
+def earliest(spec: str, c: Column, now: Column | None = None) -> Column:
+    """Whether a time is not before a relative time such as -1d@d."""
+    return c.cast("timestamp") >= relative_time(F.current_timestamp() if now is None else now, spec)
+
+
+def latest(spec: str, c: Column, now: Column | None = None) -> Column:
+    return c.cast("timestamp") <= relative_time(F.current_timestamp() if now is None else now, spec)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.shape import col
+from millrace.operators.stats import eventstats
 
 
 def kmeans(df: DataFrame, names: Sequence[str], centroids: int = 2, iterations: int = 10, cosine: bool = False, seed: int = 1) -> DataFrame:
@@ -21,11 +22,25 @@ def kmeans(df: DataFrame, names: Sequence[str], centroids: int = 2, iterations:
 
 
 def anomalies(df: DataFrame, name: str, by: Sequence[str] = (), threshold: float = 3.5) -> DataFrame:
-    """Robust z-scores (by median and median deviation) and who lies beyond the threshold; it stands in for random cut forests."""
-    keys = list(by)
-    mid = df.groupBy(*keys).agg(F.percentile_approx(col(name), 0.5, 10_000).alias("__mid"))
-    with_mid = df.join(mid, keys) if keys else df.crossJoin(F.broadcast(mid))
-    off = with_mid.groupBy(*keys).agg(F.percentile_approx(F.abs(col(name) - F.col("__mid")), 0.5, 10_000).alias("__mad"))
-    both = with_mid.join(off, keys) if keys else with_mid.crossJoin(F.broadcast(off))
+    """Robust z-scores (by median and median deviation) and who lies beyond the threshold; it stands in for random cut forests.
+
+    Null groups are a group. A null value, or a group without spread, has a null score and is no anomaly.
+    """
+    with_mid = eventstats(df, {"__mid": F.percentile_approx(col(name), 0.5, 10_000)}, by)
+    both = eventstats(with_mid, {"__mad": F.percentile_approx(F.abs(col(name) - F.col("__mid")), 0.5, 10_000)}, by)
     score = F.abs(col(name) - F.col("__mid")) * 0.6745 / F.nullif(F.col("__mad"), F.lit(0.0))
     return both.withColumn("score", score).withColumn("is_anomaly", F.coalesce(score > threshold, F.lit(False))).drop("__mid", "__mad")
+
+
+def ml_classify(train: DataFrame, rows: DataFrame, names: Sequence[str], label: str) -> DataFrame:
+    """``rows`` with a prediction (0 or 1) of a logistic regression fitted on ``train``; rows with a null input get none."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+
+    def laid(df: DataFrame) -> DataFrame:
+        return VectorAssembler(inputCols=list(names), outputCol="__v").transform(df.dropna(subset=list(names)))
+
+    known = laid(train.dropna(subset=[label])).withColumn("__y", col(label).cast("double"))
+    scale = StandardScaler(inputCol="__v", outputCol="__x", withMean=True).fit(known)
+    model = LogisticRegression(featuresCol="__x", labelCol="__y", predictionCol="prediction", maxIter=50).fit(scale.transform(known))
+    return model.transform(scale.transform(laid(rows))).drop("__v", "__x", "rawPrediction", "probability")

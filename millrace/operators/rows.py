@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -13,8 +14,17 @@ from millrace.operators.shape import col
 
 
 def sort(df: DataFrame, *keys: str, limit: int = 0) -> DataFrame:
-    """``+name`` or ``name`` ascending, nulls first; ``-name`` descending, nulls last. ``limit`` 0: all rows."""
-    order = [col(k[1:]).desc_nulls_last() if k.startswith("-") else col(k.lstrip("+")).asc_nulls_first() for k in keys]
+    """``+name`` or ``name`` ascending, nulls first; ``-name`` descending, nulls last. ``limit`` 0: all rows.
+
+    ``num(name)`` sorts text by its number (other text is null), ``str(name)`` as text, ``ip(name)`` by address,
+    ``auto(name)`` as it is.
+    """
+    order = []
+    for k in keys:
+        name = k.lstrip("+-")
+        m = re.fullmatch(r"(auto|str|ip|num)\((.*)\)", name)
+        own = SORTED_AS[m.group(1)](col(m.group(2))) if m else col(name)
+        order.append(own.desc_nulls_last() if k.startswith("-") else own.asc_nulls_first())
     out = df.orderBy(*order)
     return out.limit(limit) if limit else out
 
@@ -24,6 +34,9 @@ def ip_order(c: Column) -> Column:
     return F.transform(F.split(c, "\\."), lambda x: x.try_cast("int"))
 
 
+SORTED_AS = {"auto": lambda c: c, "str": lambda c: c.cast("string"), "num": lambda c: c.cast("string").try_cast("double"), "ip": ip_order}
+
+
 def head(df: DataFrame, n: int = 10, skip: int = 0) -> DataFrame:
     return df.offset(skip).limit(n) if skip else df.limit(n)
 
@@ -35,13 +48,29 @@ def reverse(df: DataFrame, keys: Sequence[str] = (), time: str = "@timestamp") -
     return df.orderBy(col(time).desc_nulls_last()) if time in df.columns else df
 
 
-def dedup(df: DataFrame, *keys: str, n: int = 1, order: Sequence[Column] = (), keepempty: bool = False) -> DataFrame:
-    """The first ``n`` rows of each key, by ``order``; rows with a null key go, or all stay if ``keepempty``."""
+def dedup(df: DataFrame, *keys: str, n: int = 1, order: Sequence[Column] = (), keepempty: bool = False, consecutive: bool = False, within: Sequence[str] = ()) -> DataFrame:
+    """The first ``n`` rows of each key, by ``order``; rows with a null key go, or all stay if ``keepempty``.
+
+    Without an order the rows' own values decide, so that the result is the same every time. ``consecutive``: only
+    rows equal to the one right before them, in ``order``, are repeats; ``within`` names columns that part the rows
+    into sequences of their own (without any, all rows are one sequence, in one task).
+    """
     full = None
     for k in keys:
         full = col(k).isNotNull() if full is None else full & col(k).isNotNull()
-    w = Window.partitionBy(*[col(k) for k in keys]).orderBy(*(order or [F.lit(1)]))
-    kept = df.where(full).withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= n).drop("__rank")
+    ranked = list(order) or [col(f.name) for f in df.schema if not isinstance(f.dataType, T.MapType)]
+    if consecutive:
+        if not order:
+            raise ValueError("consecutive repeats need an order")
+        w = Window.partitionBy(*[col(k) for k in within]).orderBy(*ranked)
+        fresh = F.lit(False)
+        for k in keys:
+            fresh = fresh | ~F.lag(col(k)).over(w).eqNullSafe(col(k))
+        first = F.row_number().over(w) == 1
+        own = df.where(full).withColumn("__new", (first | fresh).cast("int")).withColumn("__run", F.sum("__new").over(w))
+        kept = own.withColumn("__rank", F.row_number().over(Window.partitionBy(*[col(k) for k in within], "__run").orderBy(*ranked))).where(F.col("__rank") <= n).drop("__new", "__run", "__rank")
+    else:
+        kept = df.where(full).withColumn("__rank", F.row_number().over(Window.partitionBy(*[col(k) for k in keys]).orderBy(*ranked))).where(F.col("__rank") <= n).drop("__rank")
     return kept.union(df.where(~full)) if keepempty else kept
 
 

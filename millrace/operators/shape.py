@@ -9,8 +9,10 @@ from fnmatch import fnmatchcase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window
 
 from millrace.functions import convert as conversions
+from millrace.functions.json_edit import json_extract_all
 
 
 def col(name: str) -> Column:
@@ -61,13 +63,15 @@ def fieldformat(df: DataFrame, name: str, value: Column, prefix: str = "", suffi
 
 
 def foreach(df: DataFrame, pattern: str, template: str, target: str = "<<FIELD>>") -> DataFrame:
-    """Evaluate an expression for every column that matches; <<FIELD>> and <<MATCHSTR>> stand for its name and the part under ``*``."""
+    """Evaluate an expression for every column that matches; <<FIELD>> stands for its name, <<MATCHSTR>> for the part under
+    the (first) ``*``, <<MATCHSEG1>>, <<MATCHSEG2>>, ... for the parts under each."""
     rule = re.compile("(.*)".join(map(re.escape, pattern.split("*"))))
     for c in list(df.columns):
         m = rule.fullmatch(c)
         if m:
             part = m.group(1) if m.groups() else c
-            fill = lambda s, c=c, part=part: s.replace("<<FIELD>>", c).replace("<<MATCHSTR>>", part)
+            names = {"<<FIELD>>": c, "<<MATCHSTR>>": part} | {f"<<MATCHSEG{k}>>": g for k, g in enumerate(m.groups(), 1)}
+            fill = lambda s, names=names: re.sub("|".join(names), lambda x: names[x.group(0)], s)
             df = df.withColumn(fill(target), F.expr(fill(template)))
     return df
 
@@ -100,10 +104,11 @@ def replace(df: DataFrame, pairs: Mapping[str, str], names: Sequence[str]) -> Da
     return df
 
 
-def convert(df: DataFrame, **functions: tuple[str, str]) -> DataFrame:
-    """``target=(function, source)``: auto, num, rmcomma, rmunit, memk, mstime, dur2sec, ctime, mktime or none."""
-    for target, (name, source) in functions.items():
-        df = df.withColumn(target, getattr(conversions, name)(col(source)) if name != "none" else col(source))
+def convert(df: DataFrame, **functions: tuple[str, ...]) -> DataFrame:
+    """``target=(function, source)``: auto, num, rmcomma, rmunit, memk, mstime, dur2sec, ctime, mktime or none; ctime and
+    mktime take a time format as a third part."""
+    for target, (name, source, *fmt) in functions.items():
+        df = df.withColumn(target, getattr(conversions, name)(col(source), *fmt) if name != "none" else col(source))
     return df
 
 
@@ -147,6 +152,14 @@ GROK = {
     "IP": r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}", "HOSTNAME": r"\b[0-9A-Za-z][0-9A-Za-z-]{0,62}(?:\.[0-9A-Za-z][0-9A-Za-z-]{0,62})*\.?", "IPORHOST": r"(?:%{IP}|%{HOSTNAME})",
     "USER": r"[a-zA-Z0-9._-]+", "EMAILADDRESS": r"[a-zA-Z0-9_.+=:-]+@%{HOSTNAME}", "UUID": r"[A-Fa-f0-9]{8}-(?:[A-Fa-f0-9]{4}-){3}[A-Fa-f0-9]{12}", "LOGLEVEL": r"(?:[Tt]race|TRACE|[Dd]ebug|DEBUG|[Ii]nfo|INFO|[Ww]arn(?:ing)?|WARN(?:ING)?|[Ee]rr(?:or)?|ERR(?:OR)?|[Ff]atal|FATAL)",
     "QUOTEDSTRING": r'"(?:\\.|[^\\"])*"', "URIPATH": r"(?:/[\w$.+!*'(){},~:;=@#%&-]*)+", "HTTPDATE": r"\d{1,2}/\w{3}/\d{4}:\d{2}:\d{2}:\d{2} [+-]\d{4}",
+    "USERNAME": r"[a-zA-Z0-9._-]+", "BASE10NUM": r"[+-]?(?:[0-9]+(?:\.[0-9]+)?|\.[0-9]+)", "BASE16NUM": r"(?<![0-9A-Fa-f])[+-]?(?:0x)?[0-9A-Fa-f]+", "POSINT": r"\b[1-9][0-9]*\b", "NONNEGINT": r"\b[0-9]+\b",
+    "MAC": r"(?:[A-Fa-f0-9]{2}[:-]){5}[A-Fa-f0-9]{2}", "HOSTPORT": r"%{IPORHOST}:%{POSINT}", "PATH": r"(?:/[\w_%!$@:.,~+-]*)+", "URIPROTO": r"[A-Za-z]+(?:\+[A-Za-z+]+)?", "URIHOST": r"%{IPORHOST}(?::%{POSINT})?",
+    "URIPARAM": r"\?[A-Za-z0-9$.+!*'|(){},~@#%&/=:;_?\[\]<>-]*", "URI": r"%{URIPROTO}://(?:%{USER}@)?(?:%{URIHOST})?(?:%{URIPATH}(?:%{URIPARAM})?)?",
+    "MONTHNUM": r"0?[1-9]|1[0-2]", "MONTHDAY": r"(?:0[1-9]|[12][0-9]|3[01]|[1-9])", "YEAR": r"(?:\d\d){1,2}", "HOUR": r"(?:2[0123]|[01]?[0-9])", "MINUTE": r"[0-5][0-9]", "SECOND": r"(?:[0-5]?[0-9]|60)(?:[:.,][0-9]+)?",
+    "TIME": r"%{HOUR}:%{MINUTE}(?::%{SECOND})?", "ISO8601_TIMEZONE": r"(?:Z|[+-]%{HOUR}(?::?%{MINUTE}))", "TIMESTAMP_ISO8601": r"%{YEAR}-(?:%{MONTHNUM})-%{MONTHDAY}[T ]%{HOUR}:?%{MINUTE}(?::?%{SECOND})?%{ISO8601_TIMEZONE}?",
+    "DAY": r"(?:Mon(?:day)?|Tue(?:sday)?|Wed(?:nesday)?|Thu(?:rsday)?|Fri(?:day)?|Sat(?:urday)?|Sun(?:day)?)", "MONTH": r"\b(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)\b",
+    "SYSLOGTIMESTAMP": r"%{MONTH} +%{MONTHDAY} %{TIME}", "PROG": r"[\w._/%-]+", "SYSLOGPROG": r"%{PROG:program}(?:\[%{POSINT:pid}\])?",
+    "COMBINEDAPACHELOG": r"%{COMMONAPACHELOG} %{QUOTEDSTRING:referrer} %{QUOTEDSTRING:agent}",
     "COMMONAPACHELOG": r'%{IPORHOST:clientip} %{USER:ident} %{USER:auth} \[%{HTTPDATE:timestamp}\] "(?:%{WORD:verb} %{NOTSPACE:request}(?: HTTP/%{NUMBER:httpversion})?|%{DATA:rawrequest})" %{NUMBER:response} (?:%{NUMBER:bytes}|-)',
 }
 
@@ -203,7 +216,10 @@ def json_path(path: str) -> str:
     return "$." + re.sub(r"\{(\d*)\}", lambda m: f"[{m.group(1) or '*'}]", path)
 
 
-def spath(df: DataFrame, name: str, path: str, output: str | None = None) -> DataFrame:
+def spath(df: DataFrame, name: str, path: str | None = None, output: str | None = None) -> DataFrame:
+    """The value at a path of JSON text; without a path a map of all paths to their values as text."""
+    if path is None:
+        return df.withColumn(output or name, json_extract_all(col(name)))
     return df.withColumn(output or path, F.get_json_object(col(name), json_path(path)))
 
 
@@ -212,11 +228,35 @@ def simple_pattern(value: Column, mask: str = "[a-zA-Z0-9]+") -> Column:
     return F.regexp_replace(value, mask, "<*>")
 
 
-def patterns(df: DataFrame, name: str, by: Sequence[str] = (), samples: int = 10, aggregate: bool = False) -> DataFrame:
-    """Label rows with the simple pattern of a message, or count patterns with a few sample messages."""
+def patterns(df: DataFrame, name: str, by: Sequence[str] = (), samples: int = 10, aggregate: bool = False, numbered_tokens: bool = False) -> DataFrame:
+    """Label rows with the simple pattern of a message, or count patterns with up to ``samples`` different messages of each.
+
+    ``numbered_tokens``: a pattern's variable parts are <token1>, <token2>, ..., and ``tokens`` maps them to what stands
+    there (in the least of a pattern's messages, if counted). The samples are the least messages in order, of which
+    each task keeps no more than it needs.
+    """
     labelled = df.withColumn("patterns_field", F.coalesce(simple_pattern(col(name)), F.lit("")))
-    if not aggregate:
+    if aggregate:
+        first = labelled.select(*[col(k) for k in by], "patterns_field", col(name).alias("__m")).groupBy(*[col(k) for k in by], "patterns_field", "__m").agg(F.count("*").alias("__n"))
+        place = F.row_number().over(Window.partitionBy(*[col(k) for k in by], "patterns_field").orderBy(F.col("__m").asc_nulls_last()))
+        ranked = first.withColumn("__r", place)
+        shown = F.sort_array(F.collect_list(F.when(F.col("__r") <= samples, F.col("__m"))))
+        labelled = ranked.groupBy(*[col(k) for k in by], "patterns_field").agg(F.sum("__n").alias("pattern_count"), F.min("__m").alias("sample_log"), shown.alias("sample_logs"))
+    if not numbered_tokens:
         return labelled
-    first = labelled.select(*by, "patterns_field", col(name).alias("__m")).groupBy(*by, "patterns_field", "__m").agg(F.count("*").alias("__n"))
-    counted = first.groupBy(*by, "patterns_field").agg(F.sum("__n").alias("pattern_count"), F.min("__m").alias("sample_log"))
-    return counted
+    message = F.coalesce(F.col("sample_log") if aggregate else col(name), F.lit(""))
+    found = F.regexp_extract_all(message, F.lit("([a-zA-Z0-9]+)"), F.lit(1))
+    pieces = F.split(F.col("patterns_field"), F.lit(r"<\*>"), F.lit(-1))
+    marks = F.transform(F.sequence(F.lit(1), F.greatest(F.size(found), F.lit(1))), lambda k: F.concat(F.lit("<token"), k.cast("string"), F.lit(">")))
+    spelt = F.aggregate(F.sequence(F.lit(1), F.size(pieces)), F.lit(""), lambda s, k: F.concat(s, F.element_at(pieces, k), F.when(k < F.size(pieces), F.element_at(marks, k)).otherwise("")))
+    tokens = F.when(F.size(found) > 0, F.map_from_arrays(marks, found)).otherwise(F.create_map().cast("map<string,string>"))
+    return labelled.withColumn("tokens", tokens).withColumn("patterns_field", spelt)
+
+
+def foreach_items(df: DataFrame, name: str, start: str, template: str, output: str, from_json: bool = False) -> DataFrame:
+    """Fold an array (or, with ``from_json``, a JSON array's texts) into one value: ``template`` is evaluated for each
+    element, with <<ITEM>> for it, <<ITER>> for its number from 0 and <<VALUE>> for the value so far, which begins as ``start``."""
+    items = F.from_json(col(name), "array<string>") if from_json else col(name)
+    spelt = template.replace("<<ITEM>>", "__x.item").replace("<<ITER>>", "__x.iter").replace("<<VALUE>>", "__s")
+    made = df.withColumn("__items", F.transform(items, lambda x, i: F.struct(x.alias("item"), i.alias("iter"))))
+    return made.withColumn(output, F.expr(f"aggregate(__items, {start}, (__s, __x) -> {spelt})")).drop("__items")

@@ -2,34 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from millrace.functions import bins, convert, json_edit, scalar, times
 from millrace.operators import combine, learn, rows, shape, stats, templates
+from millrace.plans.registry import ORACLES, QUERIES, query
 from millrace.session import table
 from millrace.sources import tables
 from millrace.streaming import windows
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its function's name, with its SQL."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
+__all__ = ["ORACLES", "QUERIES"]
 
 c = F.col
 
@@ -113,11 +95,12 @@ def tpch_q18_in(spark, d):
     return combine.in_subquery(table(spark, d, "orders"), ["o_orderkey"], big).select("o_orderkey", "o_custkey", "o_totalprice")
 
 
-@query("SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer WHERE c_acctbal > 0) AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer WHERE c_acctbal > 0) AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
 def tpch_q22(spark, d):
     cu = table(spark, d, "customer")
     out = combine.scalar_subquery(cu, "mean", cu.where("c_acctbal > 0").agg(F.avg("c_acctbal"))).where("c_acctbal > mean")
-    return combine.exists_subquery(out, table(spark, d, "orders"), c("o_custkey") == c("c_custkey"), negate=True).select("c_custkey", "c_acctbal")
+    big = table(spark, d, "orders").where("o_totalprice > 400000")
+    return combine.exists_subquery(out, big, c("o_custkey") == c("c_custkey"), negate=True).select("c_custkey", "c_acctbal")
 
 
 # Shaping
@@ -192,7 +175,7 @@ def regex_filter(spark, d):
 
 @query("SELECT regexp_replace(url, '[a-zA-Z0-9]+', '<*>', 'g') AS patterns_field, count(*) AS pattern_count, min(url) AS sample_log FROM pages GROUP BY 1")
 def patterns_simple(spark, d):
-    return shape.patterns(table(spark, d, "pages"), "url", aggregate=True)
+    return shape.patterns(table(spark, d, "pages"), "url", aggregate=True).drop("sample_logs")
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
@@ -236,9 +219,9 @@ def join_fields(spark, d):
     return combine.join(table(spark, d, "documents"), table(spark, d, "labels"), ["doc_id"], "left").select("doc_id", "lang", "toxic")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
 def join_anti(spark, d):
-    o = table(spark, d, "orders").select(c("o_custkey").alias("c_custkey"))
+    o = table(spark, d, "orders").where("o_totalprice > 400000").select(c("o_custkey").alias("c_custkey"))
     return combine.join(table(spark, d, "customer").select("c_custkey"), o, ["c_custkey"], "anti")
 
 
@@ -367,7 +350,13 @@ def timechart_per_minute(spark, d):
     return stats.timechart(table(spark, d, "events"), stats.per(c("value"), 60, 1, "h"), "ts", 1, "h", name="rate")
 
 
-@query()
+#: The events span thirty days.
+WRAPPED = ", ".join(f"max(CASE WHEN age = {k} THEN n END) AS \"{f'{k} before' if k else 'latest'}\"" for k in range(30))
+
+
+@query(f"""WITH h AS (SELECT date_trunc('hour', ts) AS t, count(*) AS n FROM events GROUP BY 1), l AS (SELECT max(CAST(epoch(t) AS BIGINT) // 86400) AS last FROM h),
+f AS (SELECT l.last - CAST(epoch(t) AS BIGINT) // 86400 AS age, strftime(t, '%H:%M:%S') AS o, n FROM h, l)
+SELECT o AS "offset", {WRAPPED} FROM f GROUP BY 1""")
 def timewrap_days(spark, d):
     return stats.timewrap(stats.timechart(table(spark, d, "events"), F.count("*"), "ts", 1, "h", name="n"), "n", 1, "d")
 
@@ -405,9 +394,9 @@ def bin_span(spark, d):
     return table(spark, d, "part").select("p_partkey", bins.span_bucket(c("p_retailprice"), 100).alias("bucket"))
 
 
-@query("SELECT event_id, CASE WHEN value < 0 THEN NULL ELSE floor(value / 25) * 25 END AS low, time_bucket(INTERVAL 15 MINUTE, ts) AS quarter FROM events")
+@query("SELECT event_id, floor((value - 50) / 25) * 25 AS low, CAST(trunc((event_id % 21 - 10) / 5) * 5 AS BIGINT) AS whole, time_bucket(INTERVAL 15 MINUTE, ts) AS quarter FROM events")
 def bin_time(spark, d):
-    return table(spark, d, "events").select("event_id", F.when(c("value") >= 0, bins.span(c("value"), 25.0)).alias("low"), bins.span(c("ts"), 15, "m").alias("quarter"))
+    return table(spark, d, "events").select("event_id", bins.span(c("value") - 50, 25.0).alias("low"), bins.span(c("event_id") % 21 - 10, 5).alias("whole"), bins.span(c("ts"), 15, "m").alias("quarter"))
 
 
 # Rows and arrays
@@ -519,7 +508,9 @@ def window_tumbling(spark, d):
     return windows.windowed(table(spark, d, "events"), "ts", "1 hour", F.count("*").alias("n"), by=("event_type",))
 
 
-@query()
+@query("""WITH s AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
+g AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM s)
+SELECT min(ts) AS window_start, max(ts) + INTERVAL 30 MINUTE AS window_end, user_id, count(*) AS n FROM g GROUP BY user_id, session""")
 def window_session(spark, d):
     return windows.windowed(table(spark, d, "events"), "ts", "30 minutes", F.count("*").alias("n"), by=("user_id",), session=True)
 
@@ -529,7 +520,9 @@ def kmeans_clusters(spark, d):
     return learn.kmeans(table(spark, d, "customer"), ["c_acctbal", "c_nationkey"], 3).select("c_custkey", "ClusterID")
 
 
-@query()
+@query("""WITH m AS (SELECT o_orderpriority, quantile_disc(o_totalprice, 0.5) AS mid FROM orders GROUP BY 1),
+x AS (SELECT o.*, mid, abs(o_totalprice - mid) AS off FROM orders o JOIN m USING (o_orderpriority)), s AS (SELECT o_orderpriority, quantile_disc(off, 0.5) AS dev FROM x GROUP BY 1)
+SELECT o_orderkey, o_orderpriority, o_totalprice, off * 0.6745 / dev AS score, off * 0.6745 / dev > 3.5 AS is_anomaly FROM x JOIN s USING (o_orderpriority)""")
 def anomaly_scores(spark, d):
     return learn.anomalies(table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), "o_totalprice", ["o_orderpriority"])
 
@@ -537,3 +530,6 @@ def anomaly_scores(spark, d):
 @query("SELECT 'r_regionkey' AS column_name, 1 AS ordinal_position UNION ALL SELECT 'r_name', 2")
 def describe_table(spark, d):
     return tables.describe(table(spark, d, "region")).select("column_name", "ordinal_position")
+
+
+from millrace.plans import command_queries, function_queries  # noqa: E402, F401  they register themselves

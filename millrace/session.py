@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,27 +56,54 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one where the session names none (local runs)."""
+    """The folder that all executors share, from ``spark.checkpoint.dir``.
+
+    Where the session names none, a temporary one on a local master; on a cluster, whose executors don't see
+    the driver's disk, an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         found = tempfile.mkdtemp(prefix="millrace-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+#: Folders that ``materialize`` has written, newest last.
+_MADE: list[str] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a DataFrame to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace-{name}-{uuid.uuid4().hex[:12]}"
+    _MADE.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, folder: str) -> None:
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(df: DataFrame) -> None:
     """Remove the files of a table that ``materialize`` wrote and nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/millrace-" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            removed(df.sparkSession, folder)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove, at the end of the block, all that ``materialize`` wrote in it: for results that were written or counted in it."""
+    first = len(_MADE)
+    try:
+        yield
+    finally:
+        for folder in _MADE[first:]:
+            removed(spark, folder)
+        del _MADE[first:]
