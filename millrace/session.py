@@ -15,6 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = Path(__file__).resolve().parent
 
 
+#: Sizes of the batches that Python tasks read: rows may hold long texts, and a batch lies in the JVM's and the worker's memory.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
 def session(app: str = "millrace", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the library is tuned for: UTC, AQE on, local shuffle width."""
     builder = SparkSession.builder.appName(app)
@@ -25,6 +29,7 @@ def session(app: str = "millrace", master: str | None = None, **conf: str) -> Sp
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        **BATCHES,
         "spark.ui.enabled": "false",
     }
     for key, value in (base | conf).items():
@@ -41,8 +46,12 @@ def ship(spark: SparkSession) -> None:
     """Send the package to the Python workers once per application.
 
     Workers may start with another path than the driver, so the functions that tasks
-    import by name travel as a zip through Spark's own file server.
+    import by name travel as a zip through Spark's own file server. Batches for Python tasks shrink to BATCHES,
+    unless the session has set sizes of its own.
     """
+    for key, value in BATCHES.items():
+        if spark.conf.get(key) in ("10000", "67108864b"):  # Spark's defaults
+            spark.conf.set(key, value)
     sc = spark.sparkContext
     if getattr(sc, "_millrace_shipped", False):
         return
