@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import re
+from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,17 +29,24 @@ MIX_B = 0x94D049BB133111EB
 def inputs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = (), keep: tuple[str, ...] = ()) -> DataFrame:
     """Only the columns an operator reads, so that others, whatever their names, can't clash.
 
-    ``keep``: columns to carry along untouched, as one struct ``rest``.
+    ``keep``: columns to carry along untouched, as one struct ``rest``; the text, which is there anyway, isn't put into it.
     """
     ship(df.sparkSession)
-    rest = [F.struct(*keep).alias("rest")] if keep else []
+    others = [c for c in keep if c != text_col]
+    rest = [F.struct(*others).alias("rest")] if others else []
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c) for c in extra], *rest)
 
 
-def with_rest(ddl: str, source: DataFrame) -> T.StructType:
-    """A schema with the carried struct of ``source``, if it has one, at its end."""
+def with_rest(ddl: str, source: DataFrame, keep: tuple[str, ...] = (), text_col: str = "text") -> T.StructType:
+    """A schema with the carried struct of ``source``, if it has one, and the text, if it is to be kept, at its end."""
     schema = T.StructType.fromDDL(ddl)
-    return schema.add(source.schema["rest"]) if "rest" in source.columns else schema
+    schema = schema.add(source.schema["rest"]) if "rest" in source.columns else schema
+    return schema.add("text", "string") if text_col in keep else schema
+
+
+def carried(docs: DataFrame) -> list[Column]:
+    """All columns of ``docs`` from a result that kept them."""
+    return [F.col("text") if c == "text" else F.col("rest")[c].alias(c) for c in docs.columns]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -70,20 +80,28 @@ def steps(offsets: np.ndarray, limit: int = STEP_BYTES) -> Iterator[tuple[int, i
         a = min(b, n)
 
 
+def powers(base: int, n: int) -> np.ndarray:
+    """base^0 to base^(n - 1) modulo 2^64."""
+    out = np.full(max(n, 1), base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)[:n]
+
+
 class Powers:
-    """Powers of BASE and of its inverse modulo 2^64, grown on demand."""
+    """Powers of BASE and of its inverse modulo 2^64; a worker keeps KEPT of them, longer runs make their own."""
+
+    KEPT = (1 << 20) + 8192
 
     def __init__(self) -> None:
-        self.up = np.ones(1, np.uint64)
-        self.down = np.ones(1, np.uint64)
+        self.up = self.down = np.ones(0, np.uint64)
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        inverse = pow(BASE, -1, 1 << 64)
+        if n > self.KEPT:
+            return powers(BASE, n), powers(inverse, n)
         if len(self.up) < n:
-            size = max(n, 1 << 16)
-            for name, b in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-                x = np.full(size, b, np.uint64)
-                x[0] = 1
-                setattr(self, name, np.multiply.accumulate(x))
+            size = min(self.KEPT, max(n, 2 * len(self.up), 1 << 16))
+            self.up, self.down = powers(BASE, size), powers(inverse, size)
         return self.up[:n], self.down[:n]
 
 
@@ -93,7 +111,11 @@ BYTE_VALUES = np.random.default_rng(20240917).integers(1, 1 << 64, 256, dtype=np
 
 
 def prefix_hashes(data: np.ndarray) -> np.ndarray:
-    """P with P[i] the polynomial hash of data[:i]; ``span_hash`` compares any two spans by it."""
+    """P with P[i] the polynomial hash of data[:i]; ``span_hash`` compares any two spans by it.
+
+    Modulo 2^64, so crafted spans of 1,024 bytes and more can collide: only for spans that are short, or
+    whose bytes are compared afterwards. Words and lines take ``Keys``.
+    """
     up, _ = POWERS.get(len(data) + 1)
     out = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(BYTE_VALUES[data] * up[: len(data)], out=out[1:])
@@ -104,3 +126,59 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     """Hash of data[start:end], the same wherever the span lies."""
     _, down = POWERS.get(len(prefix))
     return (prefix[end] - prefix[start]) * down[start]
+
+
+class Keys(dict):
+    """64-bit keys of byte strings, from a cryptographic hash; a string met again costs a look-up."""
+
+    def __missing__(self, word: bytes) -> int:
+        key = self[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        return key
+
+
+#: Distinct words that a worker remembers at once.
+KNOWN_WORDS = 200_000
+#: A-Z to lower case.
+LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
+WHITE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def pieces(text: bytes, limit: int = STEP_BYTES) -> Iterator[bytes]:
+    """A text in pieces of about ``limit`` bytes, cut before white space, so that no word is split."""
+    at = 0
+    while len(text) - at > limit:
+        found = WHITE.search(text, at + limit)
+        if not found:
+            break
+        yield text[at : found.start()]
+        at = found.start()
+    yield text[at:] if at else text
+
+
+def word_keys(texts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys of all words, edges) of texts; words are what white space (0x20, 0x09-0x0D) separates."""
+    known = Keys()
+    parts, edges = [np.zeros(0, np.uint64)], [0]
+    for text in texts:
+        n = edges[-1]
+        for piece in pieces(text):
+            words = piece.split()
+            parts.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+            n += len(words)
+            if len(known) > KNOWN_WORDS:
+                known.clear()
+        edges.append(n)
+    return np.concatenate(parts), np.array(edges)
+
+
+try:
+    _TRIM = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library: nothing to trim
+    _TRIM = None
+
+
+def release() -> None:
+    """Give memory that a finished step has freed back to the machine: a Python worker outlives its task."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)

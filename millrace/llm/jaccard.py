@@ -16,37 +16,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import BASE, column_bytes, discard, inputs, materialize, mix, prefix_hashes, span_hash, steps
+from millrace.llm.common import BASE, LOWER, column_bytes, discard, inputs, materialize, mix, release, steps, word_keys
 from millrace.llm.keygroups import answers, buckets_for, dealt, in_order, key_counts
 
-#: Bytes to lower case (A-Z), and which bytes are part of words.
-LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
-IN_WORD = np.array([not (b == 0x20 or 0x09 <= b <= 0x0D) for b in range(256)])
 #: Bits of a set's parity map, which the suffix filter compares, and hubs per prefix n-gram.
 BITS, HUBS = 512, 4
 ROW = "doc_id long, n long, set_key binary, keys array<long>, pos array<int>, shared array<long>, bits array<long>"
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, ends) of the words of lower-cased texts that lie end to end; no word crosses a text's end."""
-    inside = IN_WORD[data]
-    fresh = np.zeros(len(data) + 1, bool)
-    fresh[offsets] = True
-    before = np.concatenate([[False], inside])
-    after = np.concatenate([inside, [False]])
-    return np.flatnonzero(after & (~before | fresh)), np.flatnonzero(before & (~after | fresh))
-
-
 def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
-    """For each text the sorted distinct 64-bit hashes of its word n-grams."""
+    """For each text the sorted distinct 64-bit keys of its word n-grams."""
     raw, offsets = column_bytes(column)
     out: list[np.ndarray] = []
     powers = [np.uint64(pow(BASE, j + 1, 1 << 64)) for j in range(width)]
     for a, b in steps(offsets):
-        data, own = LOWER[raw[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a]
-        starts, ends = word_spans(data, own)
-        words = mix(span_hash(prefix_hashes(data), starts, ends) + (ends - starts).astype(np.uint64))
-        edges = np.searchsorted(starts, own)
+        words, edges = word_keys(raw[offsets[i] : offsets[i + 1]].tobytes().translate(LOWER) for i in range(a, b))
         grams = np.zeros(max(0, len(words) - width + 1), np.uint64)
         for j in range(width):
             grams += words[j : j + len(grams)] * powers[j]
@@ -70,13 +54,13 @@ def least_overlap(threshold: int, a: Column, b: Column) -> Column:
 
 def described(docs: DataFrame, width: int, threshold: int) -> DataFrame:
     """Per document the size and key of its set and, if its prefix has n-grams of others, what the join needs."""
-    groups, size = dealt(inputs(docs))
+    groups, size, parts = dealt(inputs(docs))
 
     def keys_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         sets = shingle_sets(table.column("text").combine_chunks(), width)
         return np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
 
-    counts = key_counts(groups, keys_of, buckets_for(size // 6))
+    counts = key_counts(groups, keys_of, buckets_for(size // 6), parts)
 
     def describe(table: pa.Table, counted: pa.Table) -> pa.Table:
         table = in_order(table)
@@ -102,6 +86,8 @@ def described(docs: DataFrame, width: int, threshold: int) -> DataFrame:
         cols = list(zip(*rows, strict=True))
         kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
         names = ["n", "set_key", "keys", "pos", "shared", "bits"]
+        del sets, known
+        release()
         return pa.table({"doc_id": table.column("doc_id")} | {n: pa.array(list(c), k) for n, c, k in zip(names, cols, kinds, strict=True)})
 
     return groups.groupBy("g").cogroup(counts.groupBy("g")).applyInArrow(describe, ROW)
@@ -154,7 +140,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80) -> Dat
     link when 100 * common >= ``threshold`` * united n-grams; component_id is the least doc_id
     among the rows that links reach. Rows with equal sets, repeated rows too, are one class and are
     compared once. A row with a null doc_id is linked like others but can't name a component; without
-    another id in it, component_id is null. Column names beside doc_id and text don't matter.
+    another id in it, component_id is null. An empty table gives no rows; a text of any length is taken whole. Column
+    names beside doc_id and text don't matter.
     """
     rows = materialize(described(docs, width, threshold), "sets")
     sets = materialize(
@@ -173,8 +160,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80) -> Dat
     known = posting.join(labels, F.col("set_key") == F.col("v"), "left").select("key", "pos", "set_key", "n", "bits", F.coalesce("label", "set_key").alias("label"))
     mixed = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
     known = known.join(mixed, "key")
-    apart = known.alias("x").join(known.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.set_key") < F.col("y.set_key")) & (F.col("x.label") != F.col("y.label")) & may_link(threshold, "x", "y"))
-    more = materialize(verified(apart.select(F.col("x.set_key").alias("a"), F.col("y.set_key").alias("b")).distinct(), sets, threshold), "links")
+    # The first n-gram that two sets share lies still further in front in the smaller one: its prefix is shorter than the other's.
+    smaller = known.where(F.col("pos") <= F.col("n") - F.ceil(2 * threshold * F.col("n") / F.lit(100.0 + threshold) - 1e-9))
+    ordered = (F.col("y.n") < F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.set_key") < F.col("x.set_key")))
+    apart = known.alias("x").join(smaller.alias("y"), (F.col("x.key") == F.col("y.key")) & ordered & (F.col("x.label") != F.col("y.label")) & may_link(threshold, "x", "y"))
+    more = materialize(verified(apart.select(F.least("x.set_key", "y.set_key").alias("a"), F.greatest("x.set_key", "y.set_key").alias("b")).distinct(), sets, threshold), "links")
     if more.limit(1).count():
         labels = components(edges.union(more))
     class_of = sets.select("set_key", "doc_id").join(labels, F.col("set_key") == F.col("v"), "left").select("set_key", "doc_id", F.coalesce("label", "set_key").alias("label"))

@@ -7,45 +7,58 @@ lines above the limits are removed, and a document that loses too much is reject
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import BASE, POWERS, column_bytes, inputs, materialize, mix, prefix_hashes, span_hash, steps
-from millrace.llm.jaccard import LOWER, word_spans
+from millrace.llm.common import BASE, LOWER, column_bytes, inputs, materialize, mix, pieces, release, steps, word_keys
 
 SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
+WHITE_BYTE = np.array([b == 0x20 or 0x09 <= b <= 0x0D for b in range(256)])
 #: Rows of flagged lines up to which they are broadcast to the documents' lines.
 BROADCAST_ROWS = 200_000
-ROW = "doc_id long, host string, text_key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, line_keys array<long>, line_words array<int>"
+ROW = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, line_keys array<long>, line_words array<int>, own_keys array<long>"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def equal_before(keys: np.ndarray) -> np.ndarray:
-    """Which of the keys stand at an earlier place already."""
-    order = np.argsort(keys, kind="stable")
-    again = np.zeros(len(keys), bool)
-    again[order[1:]] = keys[order[1:]] == keys[order[:-1]]
-    return again
-
-
 def sums(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
     total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
     return total[edges[1:]] - total[edges[:-1]]
 
 
+def line_key(line: bytes) -> tuple[int, int]:
+    """(key, words) of a line: a cryptographic hash of its lower-cased words, one space apart."""
+    digest, n = blake2b(digest_size=8), 0
+    for piece in pieces(line):
+        words = piece.translate(LOWER).split()
+        if words:
+            digest.update(b" ".join(words) if not n else b" " + b" ".join(words))
+            n += len(words)
+    return int.from_bytes(digest.digest(), "little", signed=True), n
+
+
+def lines_of(text: bytes) -> tuple[list[int], list[int], int]:
+    """(keys, numbers of words) of the lines with a word, and how many of these equal an earlier one."""
+    keys, words, seen = [], [], set()
+    for line in text.split(b"\n"):
+        key, n = line_key(line)
+        if n:
+            keys.append(key)
+            words.append(n)
+            seen.add(line)
+    return keys, words, len(keys) - len(seen)
+
+
 def measure(data: np.ndarray, offsets: np.ndarray, window: int) -> dict[str, np.ndarray | list]:
     """Counts and lines of texts that lie end to end."""
     rows = len(offsets) - 1
-    starts, ends = word_spans(data, offsets)
-    word_edges = np.searchsorted(starts, offsets)
+    texts = [data[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    words, word_edges = word_keys(texts)
     row_of_word = np.repeat(np.arange(rows), np.diff(word_edges))
-    prefix = prefix_hashes(data)
-    words = mix(span_hash(prefix, starts, ends) + (ends - starts).astype(np.uint64))
-    letters = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    out: dict = {"n_words": np.diff(word_edges), "word_chars": sums(letters[ends] - letters[starts], word_edges), "n_symbols": sums(SYMBOL[data], offsets)}
+    out: dict = {"n_words": np.diff(word_edges), "word_chars": sums(((data & 0xC0) != 0x80) & ~WHITE_BYTE[data], offsets), "n_symbols": sums(SYMBOL[data], offsets)}
     # Words inside windows that stand twice or more in the text.
     grams = np.zeros(max(0, len(words) - window + 1), np.uint64)
     for j in range(window):
@@ -62,27 +75,10 @@ def measure(data: np.ndarray, offsets: np.ndarray, window: int) -> dict[str, np.
     np.add.at(change, place[twice], 1)
     np.add.at(change, place[twice] + window, -1)
     out["n_repeat_words"] = sums(np.cumsum(change[:-1]) > 0, word_edges)
-    # Lines: their bytes for repeats inside a text, their lower-cased words for other documents.
-    breaks = np.flatnonzero(data == 0x0A)
-    line_starts = np.unique(np.concatenate([offsets[:-1][np.diff(offsets) > 0], (breaks + 1)[breaks + 1 < len(data)]]))
-    row_of_line = np.searchsorted(offsets, line_starts, side="right") - 1
-    line_ends = np.concatenate([line_starts[1:], [len(data)]])[: len(line_starts)]
-    line_ends = np.where((line_ends > line_starts) & (data[np.maximum(line_ends - 1, 0)] == 0x0A), line_ends - 1, line_ends) if len(line_starts) else line_ends
-    a, b = np.searchsorted(starts, line_starts), np.searchsorted(starts, line_ends)
-    full = b > a
-    a, b, row_of_line, line_starts, line_ends = a[full], b[full], row_of_line[full], line_starts[full], line_ends[full]
-    raw = mix(span_hash(prefix, line_starts, line_ends) + (line_ends - line_starts).astype(np.uint64) * np.uint64(BASE))
-    line_edges = np.searchsorted(row_of_line, np.arange(rows + 1))
-    out["n_dup_lines"] = sums(equal_before(mix(raw + mix(row_of_line.astype(np.uint64)))), line_edges)
-    small = prefix_hashes(LOWER[data])
-    lower = mix(span_hash(small, starts, ends) + (ends - starts).astype(np.uint64))
-    up, down = POWERS.get(len(words) + 1)
-    chain = np.concatenate([np.zeros(1, np.uint64), np.cumsum(lower * up[: len(words)])])
-    line_keys = mix((chain[b] - chain[a]) * down[a] + (b - a).astype(np.uint64)).view(np.int64)
-    out["line_keys"] = [line_keys[x:y] for x, y in zip(line_edges[:-1], line_edges[1:], strict=True)]
-    out["line_words"] = [(b - a)[x:y].astype(np.int32) for x, y in zip(line_edges[:-1], line_edges[1:], strict=True)]
-    whole = span_hash(prefix, offsets[:-1], offsets[1:]) + np.diff(offsets).astype(np.uint64)
-    out["text_key"] = mix(whole).view(np.int64)
+    found = [lines_of(t) for t in texts]
+    out["n_dup_lines"] = np.array([d for _, _, d in found])
+    out["line_keys"], out["line_words"] = [k for k, _, _ in found], [w for _, w, _ in found]
+    out["own_keys"] = [sorted(set(k)) for k, _, _ in found]
     return out
 
 
@@ -96,10 +92,11 @@ def measured(docs: DataFrame, host_col: str, window: int) -> DataFrame:
             for a, b in steps(offsets):
                 found = measure(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], window)
                 part = batch.slice(a, b - a)
-                cols = {"doc_id": part.column("doc_id"), "host": part.column("host"), "text_key": pa.array(found["text_key"])}
+                cols = {"doc_id": part.column("doc_id"), "host": part.column("host")}
                 cols |= {c: pa.array(found[c].astype(np.int64)) for c in COUNTS}
-                cols |= {"line_keys": pa.array(found["line_keys"], pa.list_(pa.int64())), "line_words": pa.array(found["line_words"], pa.list_(pa.int32()))}
+                cols |= {c: pa.array(found[c], pa.list_(kind)) for c, kind in (("line_keys", pa.int64()), ("line_words", pa.int32()), ("own_keys", pa.int64()))}
                 yield pa.RecordBatch.from_pydict(cols)
+        release()
 
     return source.mapInArrow(run, ROW)
 
@@ -111,18 +108,19 @@ def line_rules(
 
     Words are what white space separates. base_failed: fewer than ``min_words`` words, or more than
     ``most_repeated`` per cent of them in ``window``-word windows found twice. A line (its lower-cased words) is
-    removed where more than ``min_docs`` distinct texts of its host, and more than ``max_share`` of
-    them, hold it; copies of one text count once. kept: not base_failed, and after the removal
+    removed where more than ``min_docs`` documents of its host, and more than ``max_share`` of
+    them, hold it; each row is a document, copies of a text too. kept: not base_failed, and after the removal
     ``min_words`` words and ``min_left`` of the words are left. ``removed``: numbers, from 0, of those among the
     lines that hold a word. A null text has no words; a null host is a host of its own (""); each
-    repeated row gives a row.
+    repeated row gives a row; an empty table gives none. A text of any length is measured whole. Column names
+    beside doc_id, text and the host don't matter.
     """
     rows = materialize(measured(docs, host_col, window).withColumn("row", F.monotonically_increasing_id()), "lines")
-    lines = rows.select("row", "host", "text_key", F.posexplode(F.arrays_zip("line_keys", "line_words")).alias("at", "line")).select("row", "host", "text_key", "at", F.col("line.line_keys").alias("key"), F.col("line.line_words").alias("words"))
-    holders = lines.select("host", "key", "text_key").distinct().groupBy("host", "key").agg(F.count("*").alias("holders")).where(F.col("holders") > min_docs)
-    hosts = rows.select("host", "text_key").distinct().groupBy("host").agg(F.count("*").alias("texts"))
-    flagged = materialize(holders.join(hosts, "host").where(F.col("holders") > max_share * F.col("texts")).select("host", "key"), "flagged")
+    holders = rows.select("host", F.explode("own_keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("holders")).where(F.col("holders") > min_docs)
+    hosts = rows.groupBy("host").agg(F.count("*").alias("docs"))
+    flagged = materialize(holders.join(hosts, "host").where(F.col("holders") > max_share * F.col("docs")).select("host", "key"), "flagged")
     few = flagged.count() <= BROADCAST_ROWS
+    lines = rows.select("row", "host", F.posexplode(F.arrays_zip("line_keys", "line_words")).alias("at", "line")).select("row", "host", "at", F.col("line.line_keys").alias("key"), F.col("line.line_words").alias("words"))
     lost = lines.join(F.broadcast(flagged) if few else flagged, ["host", "key"]).groupBy("row").agg(F.sum("words").alias("lost"), F.array_sort(F.collect_list("at")).alias("removed"))
     left = F.col("n_words") - F.coalesce("lost", F.lit(0))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))

@@ -68,7 +68,7 @@ l AS (SELECT page_id, page_id // 1000 AS file_id, page_id % 1000 AS slot, CAST(s
 p1 AS (SELECT file_id, slot // 16 AS up, sha256(string_agg(sha256(hash), '' ORDER BY slot)) AS h FROM l GROUP BY 1, 2),
 p2 AS (SELECT file_id, up // 16 AS up, sha256(string_agg(h, '' ORDER BY up)) AS h FROM p1 GROUP BY 1, p1.up // 16),
 p3 AS (SELECT file_id, sha256(string_agg(h, '' ORDER BY up)) AS file_root FROM p2 GROUP BY 1)
-SELECT page_id, file_id, row_number() OVER w - 1 AS record_index, CAST(coalesce(sum(length) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS record_offset, length AS record_length, hash AS record_sha256, file_root,
+SELECT page_id, file_id, 0 AS file_part, row_number() OVER w - 1 AS record_index, CAST(coalesce(sum(length) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS record_offset, length AS record_length, hash AS record_sha256, file_root,
   CASE page_id % 100 WHEN 7 THEN 'corrupt' WHEN 8 THEN 'missing' ELSE 'intact' END AS state
 FROM l JOIN p3 USING (file_id) WINDOW w AS (PARTITION BY file_id ORDER BY page_id)
 """
@@ -83,7 +83,7 @@ def op6_bigru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_rules.line_rules(table(spark, sf_dir, "documents")).select("doc_id", *line_rules.COUNTS, "base_failed", "kept")
+    return line_rules.line_rules(table(spark, sf_dir, "documents")).select("doc_id", *line_rules.COUNTS, "base_failed", "kept", F.size("removed").cast("long").alias("n_removed_lines"))
 
 
 OP7_SQL = """
@@ -96,18 +96,18 @@ l AS (SELECT r, host, t, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLM
   FROM (SELECT r, host, t, unnest(string_split(t, chr(10))) AS line FROM d)),
 ll AS (SELECT r, host, t, line, array_to_string(lw, ' ') AS norm, len(lw) AS words FROM l WHERE len(lw) > 0),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM ll GROUP BY r),
-held AS (SELECT host, norm, count(DISTINCT t) AS holders FROM ll GROUP BY 1, 2),
-hosts AS (SELECT host, count(DISTINCT t) AS texts FROM d GROUP BY 1),
-flag AS (SELECT held.host, norm FROM held JOIN hosts USING (host) WHERE holders > 20 AND holders > 0.1 * texts),
-lost AS (SELECT r, sum(words) AS lost FROM ll JOIN flag USING (host, norm) GROUP BY r),
+held AS (SELECT host, norm, count(DISTINCT r) AS holders FROM ll GROUP BY 1, 2),
+hosts AS (SELECT host, count(*) AS docs FROM d GROUP BY 1),
+flag AS (SELECT held.host, norm FROM held JOIN hosts USING (host) WHERE holders > 20 AND holders > 0.1 * docs),
+lost AS (SELECT r, sum(words) AS lost, count(*) AS gone FROM ll JOIN flag USING (host, norm) GROUP BY r),
 f AS (
   SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(array_to_string(w, '')) AS BIGINT) AS word_chars,
     CAST(len(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
-    CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, coalesce(lost, 0) AS lost
+    CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, coalesce(lost, 0) AS lost, coalesce(gone, 0) AS gone
   FROM w LEFT JOIN rep USING (r) LEFT JOIN dup USING (r) LEFT JOIN lost USING (r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_words - lost >= 20 AND n_words - lost >= 0.5 * n_words AS kept
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_words - lost >= 20 AND n_words - lost >= 0.5 * n_words AS kept, gone AS n_removed_lines
 FROM f
 """
 
@@ -116,6 +116,47 @@ def op8_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.link_quotes(table(spark, sf_dir, "conversations"))
 
 
+OP8_WORDS = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+OP8_SQL = rf"""
+WITH RECURSIVE m AS (SELECT row_number() OVER () AS r, conv_id, turn, role, coalesce(text, '') AS t, regexp_matches(coalesce(text, ''), '(?m)^[ \t]*(?:>[ \t]?)+') AS quotes FROM conversations),
+l AS (
+  SELECT r, conv_id, turn, unnest(generate_series(1, len(ls))) AS at, unnest(ls) AS line
+  FROM (SELECT *, string_split(t, chr(10)) AS ls FROM m WHERE turn IS NOT NULL AND conv_id IN (SELECT conv_id FROM m WHERE quotes AND turn IS NOT NULL))),
+e AS (
+  SELECT *, len(regexp_replace(marks, '[^>]', '', 'g')) AS depth, substr(line, len(marks) + 1) AS body FROM (SELECT *, regexp_extract(line, '^[ \t]*(?:>[ \t]?)+') AS marks FROM l)),
+f AS (
+  SELECT *, CASE WHEN depth <> lag(depth) OVER (PARTITION BY r ORDER BY at) THEN 1 ELSE 0 END AS fresh,
+    first_value(CASE WHEN depth > 0 OR regexp_matches(line, '[^\x20\x09-\x0D]') THEN depth END IGNORE NULLS) OVER (PARTITION BY r ORDER BY at ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS following FROM e),
+g AS (
+  SELECT *, sum(fresh) OVER (PARTITION BY r ORDER BY at) AS run,
+    depth = 0 AND regexp_matches(line, '(?i)^\s*(?:on\b.*\bwrote|.*\b(?:wrote|schrieb|a écrit|escribió))\s*:\s*$') AND coalesce(following > 0, false) AS named FROM f),
+pw AS (SELECT r, conv_id, turn, run, depth, {OP8_WORDS.format("string_agg(body, ' ' ORDER BY at)")} AS w FROM g WHERE depth > 0 GROUP BY r, conv_id, turn, run, depth),
+pk AS (SELECT DISTINCT r, conv_id, turn, run, depth, array_to_string(w[i:i + 4], ' ') AS key FROM (SELECT *, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM pw WHERE len(w) > 0)),
+own AS (SELECT * FROM g WHERE depth = 0 AND NOT named),
+ow AS (
+  SELECT r, conv_id, turn, {OP8_WORDS.format("string_agg(line, ' ' ORDER BY at)")} AS w FROM own GROUP BY r, conv_id, turn
+  UNION ALL SELECT * FROM (SELECT r, conv_id, turn, {OP8_WORDS.format("line")} AS w FROM own) WHERE len(w) < 5),
+sk AS (SELECT DISTINCT r, conv_id, turn, array_to_string(w[i:i + 4], ' ') AS key FROM (SELECT *, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM ow WHERE len(w) > 0)),
+met AS (SELECT p.r, p.run, p.depth, p.key, arg_max(s.r, (s.turn, s.r)) AS origin FROM pk p JOIN sk s ON s.conv_id = p.conv_id AND s.key = p.key AND s.turn < p.turn GROUP BY p.r, p.run, p.depth, p.key),
+votes AS (SELECT met.r, run, depth, origin, m.turn AS origin_turn, count(*) AS n FROM met JOIN m ON m.r = origin GROUP BY met.r, run, depth, origin, m.turn),
+best AS (SELECT r, run, depth, arg_max(origin, (n, origin_turn, origin)) AS origin, max(n) AS n FROM votes GROUP BY r, run, depth),
+lk AS (SELECT best.* FROM best JOIN (SELECT r, run, count(*) AS k FROM pk GROUP BY r, run) USING (r, run) WHERE 2 * n >= k),
+dr AS (SELECT r, origin, sum(n) AS n FROM lk WHERE depth = 1 GROUP BY r, origin),
+rp AS (SELECT dr.r, arg_max(origin, (n, m.turn, origin)) AS parent FROM dr JOIN m ON m.r = origin GROUP BY dr.r),
+th AS (SELECT r, parent AS head, 1 AS k FROM rp UNION ALL SELECT th.r, rp.parent, k + 1 FROM th JOIN rp ON rp.r = th.head),
+hd AS (SELECT r, arg_max(head, k) AS head, max(k) AS depth FROM th GROUP BY r),
+mem AS (SELECT r, head, depth FROM hd UNION SELECT head, head, 0 FROM hd),
+pos AS (SELECT mem.r, mem.depth, h.turn AS thread, row_number() OVER (PARTITION BY mem.head ORDER BY x.turn, x.r) - 1 AS position FROM mem JOIN m x ON x.r = mem.r JOIN m h ON h.r = mem.head),
+cl AS (SELECT r, regexp_replace(string_agg(line, chr(10) ORDER BY at), '^\n+|\n+$', '', 'g') AS own FROM own GROUP BY r),
+pc AS (SELECT r, count(DISTINCT run) AS n, max(depth) AS depth FROM pk GROUP BY r),
+lc AS (SELECT r, count(*) AS n FROM lk GROUP BY r)
+SELECT m.conv_id, m.turn, m.role, CASE WHEN quotes AND m.conv_id IS NOT NULL AND m.turn IS NOT NULL THEN coalesce(cl.own, '') ELSE t END AS text,
+  coalesce(pc.n, 0) AS n_quoted, coalesce(lc.n, 0) AS n_linked, CAST(coalesce(pc.depth, 0) AS BIGINT) AS quote_depth, o.turn AS reply_to, coalesce(pos.thread, m.turn) AS thread,
+  CAST(coalesce(pos.depth, 0) AS BIGINT) AS reply_depth, coalesce(pos.position, 0) AS position
+FROM m LEFT JOIN cl USING (r) LEFT JOIN pc USING (r) LEFT JOIN lc USING (r) LEFT JOIN rp USING (r) LEFT JOIN m o ON o.r = rp.parent LEFT JOIN pos ON pos.r = m.r
+"""
+
+
 def op9_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontaminate.report(found)
@@ -169,6 +210,7 @@ ORACLES: dict[str, str] = {
     "op2_ngram_jaccard_join": OP2_SQL,
     "op4_merkle_fixity": OP4_SQL,
     "op7_line_frequency_rules": OP7_SQL,
+    "op8_quotation_linking": OP8_SQL,
     "op9_wu_manber_decontamination": OP9_SQL,
     "op10_suffix_dedup": OP10_SQL,
 }

@@ -10,20 +10,22 @@ the least document, and the others' bytes are covered.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import MIX_A, STEP_BYTES, column_bytes, inputs, mix, prefix_hashes, span_hash, with_rest
+from millrace.llm.common import MIX_A, column_bytes, inputs, mix, prefix_hashes, release, span_hash, with_rest
 from millrace.llm.keygroups import answers, bucket_of, buckets_for, dealt, in_order, key_counts
 
 #: Bytes of an anchor. From FREQUENT on, of its count over all groups, an anchor's fragments are keyed by a longer
 #: gram; from COMMON on each of its strings is keyed by itself, so that no bucket grows with a common anchor.
 GRAM, FREQUENT, COMMON = 20, 1000, 20_000
+#: Bytes that anchors are found in at once, and bytes of fragments that are sorted at once.
+SEGMENT_BYTES, SORT_BYTES = 1 << 19, 1 << 19
 NULL_ID = np.iinfo(np.int64).min
 SEED = np.uint64(0x2545F4914F6CDD1D)
 
@@ -43,27 +45,28 @@ def segments(offsets: np.ndarray, width: int, limit: int) -> Iterator[list[tuple
         yield part
 
 
-def anchored(data: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> Iterator[tuple]:
-    """For each step (bytes, prefix hashes, and of each run of strings with one anchor: row, start in the
-    step, first string, last string, anchor's hash, place of the step's byte 0 in the row)."""
-    for part in segments(offsets, width, STEP_BYTES):
+def anchored(data: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Of each run of strings with one anchor: (row, start and end in the row, the anchor's place, the anchor's key)."""
+    found = [(np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)]
+    for part in segments(offsets, width, SEGMENT_BYTES):
         own = np.concatenate([data[offsets[r] + s : offsets[r] + e] for r, s, e in part])
         ends = np.cumsum([e - s for _, s, e in part])
         starts = ends - [e - s for _, s, e in part]
         prefix = prefix_hashes(own)
-        n = len(own) - gram + 1
-        at = np.arange(n)
+        at = np.arange(len(own) - gram + 1)
         h = span_hash(prefix, at, at + gram)
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(MIX_A)
-        window = width - gram + 1
-        low = (h >> np.uint64(24) << np.uint64(24)) | at.astype(np.uint64)
-        reach = 1
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(MIX_A)
+        low = h >> np.uint64(24) << np.uint64(24)
+        low |= at.astype(np.uint64)
+        del prefix, at
+        window, reach = width - gram + 1, 1
         while reach * 2 <= window:
             low = np.minimum(low[:-reach], low[reach:])
             reach *= 2
         if window > reach:
             low = np.minimum(low[: -(window - reach)], low[window - reach :])
-        good = np.zeros(len(low) + 1, np.int8)
+        good = np.zeros(len(low) + 1, np.int32)
         np.add.at(good, starts, 1)
         np.add.at(good, ends - width + 1, -1)
         first = np.flatnonzero(np.cumsum(good[:-1]) > 0)
@@ -73,7 +76,8 @@ def anchored(data: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> It
         seg = np.searchsorted(ends, a, side="right")
         rows = np.array([r for r, _, _ in part])[seg]
         shift = np.array([s for _, s, _ in part])[seg] - starts[seg]
-        yield own, prefix, rows, a, b, anchor[new], mix(h[anchor[new]] ^ SEED), shift
+        found.append((rows, a + shift, b + width + shift, anchor[new] + shift, mix(h[anchor[new]] ^ SEED)))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def ids_of(table: pa.Table) -> np.ndarray:
@@ -142,11 +146,11 @@ def suffix_sort(data: np.ndarray, prefix: np.ndarray, starts: np.ndarray, part:
     return order
 
 
-def pack_spans(groups: np.ndarray, rows: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, bytes]]:
-    """Covered bytes by group: (g, rows, starts and ends as 64-bit numbers)."""
-    order = np.argsort(groups, kind="stable")
-    edges = np.flatnonzero(np.diff(groups[order])) + 1
-    return [(int(groups[k[0]]), np.stack([rows[k], starts[k], ends[k]]).astype(np.int64).tobytes()) for k in np.split(order, edges) if len(k)]
+def pack_spans(spans: np.ndarray) -> list[tuple[int, bytes]]:
+    """Covered bytes (group, row, start, end) by group: (g, rows, starts and ends as 64-bit numbers)."""
+    order = np.argsort(spans[0], kind="stable")
+    edges = np.flatnonzero(np.diff(spans[0][order])) + 1
+    return [(int(spans[0][k[0]]), merge(spans[1:, k]).astype(np.int64).tobytes()) for k in np.split(order, edges) if len(k)]
 
 
 def covered(fragments: list[bytes], keys: np.ndarray, docs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -175,7 +179,7 @@ def covered(fragments: list[bytes], keys: np.ndarray, docs: np.ndarray, width: i
     return o[hit], offset[order][hit]
 
 
-def halves(prefix: np.ndarray, start: int, end: int, anchor: int, width: int, gram: int) -> list[tuple[int, int, int]]:
+def halves(raw: bytes, start: int, end: int, anchor: int, width: int, gram: int) -> list[tuple[int, int, int]]:
     """(start, end, key) of the strings that reach ``side`` bytes before the anchor, and of the others, which reach
     as far behind it; each is keyed by the longer gram that all its strings hold."""
     side = (width - gram) // 2
@@ -183,123 +187,161 @@ def halves(prefix: np.ndarray, start: int, end: int, anchor: int, width: int, gr
     # A string that starts at x holds text[anchor - side : anchor + gram] if x <= anchor - side.
     last = min(end - width, anchor - side)
     if last >= start:
-        out.append((start, last + width, anchor - side))
+        out.append((start, last + width, gram_key(raw[anchor - side : anchor + gram])))
     first = max(start, anchor - side + 1)
     if first <= end - width:
-        out.append((first, end, anchor))
-    at = np.array([x for _, _, x in out])
-    keys = mix(span_hash(prefix, at, at + gram + side)).tolist()
-    return [(x, y, key) for (x, y, _), key in zip(out, keys, strict=True)]
+        out.append((first, end, gram_key(raw[anchor : anchor + gram + side])))
+    return out
 
 
-def repeated_spans(groups: DataFrame, size: int, width: int, gram: int) -> DataFrame:
-    """(g, spans): packed byte ranges of a group's rows that are covered by strings of smaller documents."""
-    expected = size * 2 // (width - gram + 2)
+def gram_key(piece: bytes) -> int:
+    return int.from_bytes(blake2b(piece, digest_size=8).digest(), "little")
+
+
+def row_bytes(data: np.ndarray, offsets: np.ndarray, row: int) -> bytes:
+    return data[offsets[row] : offsets[row + 1]].tobytes()
+
+
+def distinct_anchors(table: pa.Table, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted anchors of a group, each with 1 or, if several documents have it, 2."""
+    data, offsets = column_bytes(table.column("text").combine_chunks())
+    rows, _, _, _, key = anchored(data, offsets, width, gram)
+    doc = ids_of(table)[rows]
+    order = np.argsort(key, kind="stable")
+    key, doc = key[order], doc[order]
+    lead = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return key[lead], 1 + (np.minimum.reduceat(doc, lead) != np.maximum.reduceat(doc, lead)) if len(key) else np.zeros(0, np.int64)
+
+
+def packed(blob: bytes) -> bytes:
+    return pa.compress(blob, "zstd", asbytes=True) + np.int64(len(blob)).tobytes() if blob else b""
 
-    def keys_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        data, offsets = column_bytes(table.column("text").combine_chunks())
-        ids = ids_of(table)
-        found = [(key, ids[rows]) for _, _, rows, _, _, _, key, _ in anchored(data, offsets, width, gram)]
-        if not found:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        key, doc = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.argsort(key, kind="stable")
-        key, doc = key[order], doc[order]
-        lead = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        last = np.concatenate([lead[1:] - 1, [len(key) - 1]])
-        return key[lead], 1 + (doc[lead] != doc[last])
 
-    buckets = buckets_for(expected)
-    counts = key_counts(groups, keys_of, buckets)
-    schema = "bucket long, g long, meta binary, bytes binary"
+def shared_fragments(table: pa.Table, seen: np.ndarray, buckets: int, width: int, gram: int) -> pa.Table:
+    """(bucket, g, meta, bytes): a group's strings whose anchor occurs elsewhere, packed by bucket.
+
+    A string that the group repeats is sent once, for its least document; the others are covered here (a row without meta).
+    """
+    g = table.column("g")[0].as_py()
+    data, offsets = column_bytes(table.column("text").combine_chunks())
+    ids = ids_of(table)
+    rows, starts, ends, anchors, keys = anchored(data, offsets, width, gram)
+    often = seen[np.searchsorted(np.unique(keys), keys)] if len(keys) else seen
+    first: dict[bytes, int] = {}
+    local, kept = [], []
+    row, raw = -1, b""
+    for k in np.flatnonzero(often > 1).tolist():
+        if rows[k] != row:
+            row = int(rows[k])
+            raw, doc = row_bytes(data, offsets, row), int(ids[row])
+        s, e = int(starts[k]), int(ends[k])
+        if often[k] < FREQUENT:
+            parts = [(s, e, int(keys[k]))]
+        elif often[k] < COMMON:
+            parts = halves(raw, s, e, int(anchors[k]), width, gram)
+        else:
+            parts = [(x, x + width, gram_key(raw[x : x + width])) for x in range(s, e - width + 1)]
+        for x, y, to in parts:
+            text = raw[x:y]
+            if doc > first.setdefault(text, doc):
+                local.append((row, x, y))
+            else:
+                kept.append((to, text, doc, row, x))
+    del first
+    out = []
+    if local:
+        out.append((g % buckets, b"", packed(merge(np.array(local, np.int64).T).tobytes())))
+    if kept:
+        to = np.array([x[0] for x in kept], np.uint64)
+        bucket = bucket_of(to, buckets)
+        order = np.argsort(bucket, kind="stable")
+        meta = np.array([(len(x[1]), *x[2:]) for x in kept], np.int64)
+        meta = np.concatenate([to.astype(np.uint32).astype(np.int64)[:, None], meta], axis=1)
+        for k in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+            out.append((int(bucket[k[0]]), packed(meta[k].T.tobytes()), packed(b"".join(kept[i][1] for i in k.tolist()))))
+    return pa.table({"bucket": pa.array([x[0] for x in out], pa.int64()), "g": pa.array([g] * len(out), pa.int64()), "meta": pa.array([x[1] for x in out], pa.binary()), "bytes": pa.array([x[2] for x in out], pa.binary())})
+
+
+def spans_of(texts: list[bytes], keys: list[int], docs: np.ndarray, where: np.ndarray, width: int) -> np.ndarray:
+    """(g, row, start, end) of the bytes that smaller documents cover; ``where`` has each fragment's group, row and start."""
+    first: dict[tuple[int, bytes], int] = {}
+    number = np.array([first.setdefault(x, len(first)) for x in zip(keys, texts, strict=True)])
+    least = np.full(len(first), np.iinfo(np.int64).max)
+    np.minimum.at(least, number, docs)
+    size = np.array([len(t) for t in texts])
+    later = docs > least[number]
+    out = [np.stack([*where[:, later], where[2, later] + size[later]])]
+    # Equal fragments stand for one another; where a key has several, their strings are sorted.
+    part = np.array([k for k, _ in first])
+    _, part, count = np.unique(part, return_inverse=True, return_counts=True)
+    several = np.flatnonzero(count[part] > 1)
+    if len(several):
+        distinct = [t for _, t in first]
+        f, offset = covered([distinct[i] for i in several.tolist()], part[several], least[several], width)
+        holders = np.flatnonzero(~later & np.isin(number, several))
+        holders = holders[np.argsort(number[holders], kind="stable")]
+        lo = np.searchsorted(number[holders], several[f])
+        n = np.searchsorted(number[holders], several[f], side="right") - lo
+        at = holders[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        start = where[2, at] + np.repeat(offset, n)
+        out.append(np.stack([where[0, at], where[1, at], start, start + width]))
+    return np.concatenate(out, axis=1)
+
+
+def resolved(table: pa.Table, width: int) -> pa.Table:
+    """(g, spans) of a bucket, some keys at a time, so that memory follows the packed bucket and SORT_BYTES."""
+    out: list[tuple[int, bytes]] = []
+    groups, metas, raws = [], [], []
+    for g, meta, raw in zip(table.column("g").to_pylist(), table.column("meta").to_pylist(), table.column("bytes").to_pylist(), strict=True):
+        if not meta:
+            out.append((g, unpacked(raw)))
+            continue
+        metas.append(np.frombuffer(unpacked(meta), np.int64).reshape(5, -1))
+        groups.append(np.full(metas[-1].shape[1], g))
+        raws.append(unpacked(raw))
+    if metas:
+        raw = b"".join(raws)
+        del raws
+        key, size, doc, row, start = np.concatenate(metas, axis=1)
+        g = np.concatenate(groups)
+        at = np.cumsum(size) - size
+        order = np.argsort(key, kind="stable")
+        lead = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) > 0, [True]]))
+        upto = np.concatenate([[0], np.cumsum(size[order])])[lead]
+        i = 0
+        while i < len(lead) - 1:  # whole keys, of SORT_BYTES together or one
+            j = max(i + 1, int(np.searchsorted(upto, upto[i] + SORT_BYTES, side="right")) - 1)
+            k = order[lead[i] : lead[j]]
+            texts = [raw[a:b] for a, b in zip(at[k].tolist(), (at[k] + size[k]).tolist(), strict=True)]
+            spans = spans_of(texts, key[k].tolist(), doc[k], np.stack([g[k], row[k], start[k]]), width)
+            if spans.shape[1]:
+                out += pack_spans(spans)
+            i = j
+    return pa.table({"g": pa.array([x[0] for x in out], pa.int64()), "spans": pa.array([merge(np.frombuffer(x[1], np.int64).reshape(3, -1)).tobytes() for x in out], pa.binary())})
+
+
+def repeated_spans(groups: DataFrame, size: int, parts: int, width: int, gram: int) -> DataFrame:
+    """(g, spans): packed byte ranges of a group's rows that are covered by strings of smaller documents."""
+    buckets = buckets_for(size * 2 // (width - gram + 2))
+    counts = key_counts(groups, lambda table: distinct_anchors(table, width, gram), buckets, parts)
 
     def fragments(table: pa.Table, counted: pa.Table) -> pa.Table:
-        g = table.column("g")[0].as_py()
-        table = in_order(table)
-        data, offsets = column_bytes(table.column("text").combine_chunks())
-        ids, seen = ids_of(table), answers(counted)
-        known, all_runs = [], []
-        for step in anchored(data, offsets, width, gram):
-            known.append(step[6])
-            all_runs.append(step)
-            if len(all_runs) >= 64:
-                break
-        known = np.unique(np.concatenate([s[6] for s in anchored(data, offsets, width, gram)])) if len(all_runs) >= 64 else np.unique(np.concatenate([*known, np.zeros(0, np.uint64)]))
-        first: dict[bytes, int] = {}
-        local, kept = [], []
-        for own, prefix, rows, a, b, anchor, key, shift in all_runs if len(all_runs) < 64 else anchored(data, offsets, width, gram):
-            often = seen[np.searchsorted(known, key)]
-            use = np.flatnonzero(often > 1)
-            raw = own.tobytes()
-            for k in use.tolist():
-                row, s, e = int(rows[k]), int(a[k]), int(b[k]) + width
-                if often[k] < FREQUENT:
-                    parts = [(s, e, int(key[k]))]
-                elif often[k] < COMMON:
-                    parts = halves(prefix, s, e, int(anchor[k]), width, gram)
-                else:
-                    at = np.arange(s, e - width + 1)
-                    parts = [(x, x + width, y) for x, y in zip(at.tolist(), mix(span_hash(prefix, at, at + width)).tolist(), strict=True)]
-                for x, y, to in parts:
-                    text = raw[x:y]
-                    doc = int(ids[row])
-                    least = first.setdefault(text, doc)
-                    if doc > least:
-                        local.append((row, x + shift[k], y + shift[k]))
-                    else:
-                        kept.append((to, text, doc, row, x + shift[k]))
-        out = []
-        if local:
-            spans = np.array(local, np.int64).T
-            out.append((g % buckets, g, b"", merge(spans).tobytes()))
-        if kept:
-            to = np.array([x[0] for x in kept], np.uint64)
-            bucket = bucket_of(to, buckets)
-            order = np.argsort(bucket, kind="stable")
-            meta = np.zeros((len(kept), 5), np.int64)
-            meta[:, 0] = to.astype(np.uint32)
-            for j, values in enumerate(([len(x[1]) for x in kept], *([x[i] for x in kept] for i in (2, 3, 4)))):
-                meta[:, j + 1] = values
-            for k in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-                out.append((int(bucket[k[0]]), g, meta[k].T.tobytes(), b"".join(kept[i][1] for i in k.tolist())))
-        return pa.table({"bucket": pa.array([x[0] for x in out], pa.int64()), "g": pa.array([x[1] for x in out], pa.int64()), "meta": pa.array([pa.compress(x[2], "zstd", asbytes=True) + np.int64(len(x[2])).tobytes() if x[2] else b"" for x in out], pa.binary()), "bytes": pa.array([pa.compress(x[3], "zstd", asbytes=True) + np.int64(len(x[3])).tobytes() for x in out], pa.binary())})
+        out = shared_fragments(in_order(table), answers(counted), buckets, width, gram)
+        release()
+        return out
 
     def resolve(table: pa.Table) -> pa.Table:
-        out: list[tuple[int, bytes]] = []
-        by_key: dict[int, dict[bytes, list[tuple]]] = defaultdict(dict)
-        for g, meta, raw in zip(table.column("g").to_pylist(), table.column("meta").to_pylist(), table.column("bytes").to_pylist(), strict=True):
-            raw = unpacked(raw)
-            if not meta:
-                out.append((g, raw))
-                continue
-            at = 0
-            for key, n, doc, row, start in zip(*np.frombuffer(unpacked(meta), np.int64).reshape(5, -1).tolist(), strict=True):
-                by_key[key].setdefault(raw[at : at + n], []).append((doc, g, row, start))
-                at += n
-        spans: list[tuple[int, int, int, int]] = []
-        texts, keys, least, holders = [], [], [], []
-        for number, same in enumerate(by_key.values()):
-            for text, where in same.items():
-                low = min(where)[0]
-                spans += [(g, row, start, start + len(text)) for doc, g, row, start in where if doc > low]
-                if len(same) > 1:
-                    texts.append(text)
-                    keys.append(number)
-                    least.append(low)
-                    holders.append([w for w in where if w[0] == low])
-        if texts:
-            for f, offset in zip(*(x.tolist() for x in covered(texts, np.array(keys), np.array(least), width)), strict=True):
-                spans += [(g, row, start + offset, start + offset + width) for _, g, row, start in holders[f]]
-        if spans:
-            out += pack_spans(*np.array(spans, np.int64).T)
-        return pa.table({"g": pa.array([x[0] for x in out], pa.int64()), "spans": pa.array([merge(np.frombuffer(x[1], np.int64).reshape(3, -1)).tobytes() for x in out], pa.binary())})
-
-    sent = groups.groupBy("g").cogroup(counts.groupBy("g")).applyInArrow(fragments, schema)
-    return sent.groupBy("bucket").applyInArrow(resolve, "g long, spans binary")
+        out = resolved(table, width)
+        release()
+        return out
+
+    sent = groups.groupBy("g").cogroup(counts.groupBy("g")).applyInArrow(fragments, "bucket long, g long, meta binary, bytes binary")
+    found = sent.repartition(min(buckets, parts), "bucket").groupBy("bucket").applyInArrow(resolve, "g long, spans binary")
+    return found.repartition(parts, "g")
 
 
 def unpacked(blob: bytes) -> bytes:
-    return pa.decompress(blob[:-8], int(np.frombuffer(blob[-8:], np.int64)[0]), "zstd", asbytes=True)
+    return b"" if not blob else pa.decompress(blob[:-8], int(np.frombuffer(blob[-8:], np.int64)[0]), "zstd", asbytes=True)
 
 
 def merge(spans: np.ndarray) -> np.ndarray:
@@ -322,13 +364,14 @@ def without_repeats(docs: DataFrame, width: int = 50, gram: int = GRAM, as_text:
     covered by a string of ``width`` bytes that also starts in a document with a smaller doc_id,
     judged on the whole input; ``kept`` is the rest. Rows that share a doc_id don't remove
     from each other; a null doc_id counts as smaller than all others. Texts shorter than
-    ``width`` lose nothing. Column names beside doc_id and text don't matter. ``as_text``:
+    ``width`` lose nothing; a longer text of any length is searched whole. An empty table gives no rows. Column names beside
+    doc_id and text don't matter. ``as_text``:
     ``kept`` is text, without the bytes of characters that a cut splits. ``keep``: columns of ``docs``
     to carry along, as a struct ``rest``.
     """
-    groups, size = dealt(inputs(docs, keep=keep))
-    schema = with_rest(f"doc_id long, n_bytes long, spans array<struct<start:long,length:long>>, kept {'string' if as_text else 'binary'}", groups)
-    spans = repeated_spans(groups, size, width, gram)
+    groups, size, parts = dealt(inputs(docs, keep=keep))
+    schema = with_rest(f"doc_id long, n_bytes long, spans array<struct<start:long,length:long>>, kept {'string' if as_text else 'binary'}", groups, keep)
+    spans = repeated_spans(groups, size, parts, width, gram)
 
     def apply(table: pa.Table, found: pa.Table) -> pa.Table:
         table = in_order(table)
@@ -344,6 +387,7 @@ def without_repeats(docs: DataFrame, width: int = 50, gram: int = GRAM, as_text:
             left = b"".join(text[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True))
             kept.append(left.decode("utf-8", "ignore") if as_text else left)
             removed.append([{"start": a, "length": b - a} for a, b in own])
+        release()
         spans_type = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
         cols = {"doc_id": table.column("doc_id"), "n_bytes": pa.array(np.diff(offsets)), "spans": pa.array(removed, spans_type), "kept": pa.array(kept, pa.string() if as_text else pa.binary())}
         return pa.table(cols | {c: table.column(c) for c in schema.fieldNames()[4:]})

@@ -77,6 +77,50 @@ def test_pack(spark, docs, rows):
     assert pack.pack(empty(spark), path).count() == 0
 
 
+def thue_morse(n):
+    """Two words of n bytes that every polynomial hash modulo 2^64 takes for one, if n is 1,024 or more."""
+    bits = [bin(k).count("1") & 1 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("size", [1024, 2048, 4096])
+def test_long_words_are_told_apart(spark, size):
+    one, two = thue_morse(size)
+    rest = " ".join(f"w{k}" for k in range(4))
+    docs = spark.createDataFrame([(1, f"{one} {rest}"), (2, f"{two} {rest}"), (3, f"{one} {rest}")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 1}
+    lines = [" ".join("ab"[b == "b"] for b in x) for x in (one, two)]
+    got = line_rules.line_rules(spark.createDataFrame([(k, lines[k % 2], "h") for k in range(60)], "doc_id long, text string, source string"), min_docs=40, max_share=0.1).collect()
+    assert all(r.removed == [] for r in got)
+    from millrace.llm import toxicity
+    from millrace.llm.common import column_bytes
+    import pyarrow as pa
+
+    assert toxicity.words_of(*column_bytes(pa.array([f"{one} {two}"]))).codes.tolist() == [0, 1]
+
+
+def test_one_row_repeated_is_dealt_to_several_groups(spark):
+    from millrace.llm import keygroups
+
+    text = "word " * 20000
+    source = spark.createDataFrame([(1, text)] * 300 + [(2, "x"), (None, None)], "doc_id long, text string")
+    groups, size, parts = keygroups.dealt(source, 1 << 20)
+    found = groups.groupBy("g").count().collect()
+    assert len(found) > 20 and max(r["count"] for r in found) < 60 and size > 29_000_000 and parts > 1
+    got = {(r.doc_id, r.n_removed) for r in suffix_dedup.digest(suffix_dedup.without_repeats(source.select("doc_id", "text"))).collect()}
+    assert got == {(1, 0), (2, 0), (None, 0)}
+
+
+def test_vocabularies_that_keep_white_space(spark):
+    import public_tokenizers
+
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [" The mill,\n\twheel's  turn", "", "ÀB c"]
+    assert not pack.by_word(path) and pack.by_word(vocabulary_path())
+    for e, own in zip(pack.tokenizer(path).encode_batch(texts, add_special_tokens=False), pack.text_ids(path, texts), strict=True):
+        assert b"".join(x.to_bytes(4, "little") for x in e.ids) == own
+
+
 def test_word_ids_equal_whole_texts():
     path = vocabulary_path()
     texts = ["", "  a  b ", "can't won't. O'neil's, x.y.z... 3.5% $9&& é.é́ ÀÉ. İstanbul. ΣΑΣ. <|endoftext|>. ½. ²) á. 日本.。", "\tq\rz x. y.\n\nfin"]
@@ -223,13 +267,13 @@ def test_line_rules(spark):
         rows.append((i, "\n".join(lines), "a" if i % 3 else None))
     rows += [(100, None, "a"), (101, "", "a"), (102, "x " * 50, "a"), (102, "x " * 50, "a"), (None, "#$ é|<>\n\n", "b")]
     got = line_rules.line_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
-    held, texts = defaultdict(set), defaultdict(set)
+    held, docs = defaultdict(set), Counter()
     norm = lambda x: " ".join(WORDS.findall(x.translate(ASCII_LOWER)))
-    for _, t, h in rows:
-        texts[h or ""].add(t or "")
+    for k, (_, t, h) in enumerate(rows):
+        docs[h or ""] += 1
         for x in (t or "").split("\n"):
             if norm(x):
-                held[h or "", norm(x)].add(t)
+                held[h or "", norm(x)].add(k)
     want = []
     for i, t, h in rows:
         t = t or ""
@@ -237,7 +281,7 @@ def test_line_rules(spark):
         grams = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
         rep = {p for k in range(len(w) - 7) if grams[tuple(w[k : k + 8])] > 1 for p in range(k, k + 8)}
         lines = [x for x in t.split("\n") if WORDS.search(x)]
-        gone = [k for k, x in enumerate(lines) if len(held[h or "", norm(x)]) > max(20, 0.1 * len(texts[h or ""]))]
+        gone = [k for k, x in enumerate(lines) if len(held[h or "", norm(x)]) > max(20, 0.1 * docs[h or ""])]
         left = len(w) - sum(len(WORDS.findall(lines[k])) for k in gone)
         failed = len(w) < 20 or 100 * len(rep) > 30 * len(w)
         want.append((i, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(rep), failed, gone, not failed and left >= 20 and left >= 0.5 * len(w)))
@@ -274,6 +318,29 @@ def test_shards(spark, docs, rows):
     assert shards.assign(empty(spark)).count() == 0
 
 
+def test_fixity_of_many_copies_and_null_ids(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(None, f"u{k}", "n") for k in range(300)] + [(7, "u", f"v{k}") for k in range(200)] + [(8, "u", "same")] * 500 + [(k, "u", "w") for k in range(20, 40)]
+    schema = "page_id long, url string, html string"
+    pages = spark.createDataFrame(rows, schema)
+    other = spark.createDataFrame(rows[3:300] + [(None, "new", "n")] + rows[302:500] + [(7, "u", "bad")] * 5 + rows[510:] + [(8, "u", "other")] * 4 + [(50, "u", "w")], schema)
+    got = fixity.audit(pages, other, file_ids=10, fan=4).collect()
+    states = Counter((r.page_id, r.state) for r in got)
+    # Of null ids 3 are lost and 1 came: 1 altered, 2 missing. Of id 7 2 are lost and 5 came; of id 8 10 copies are lost, 4 came.
+    assert {k: n for k, n in states.items() if k[1] != "intact"} == {(None, "corrupt"): 1, (None, "missing"): 2, (7, "corrupt"): 2, (7, "surplus"): 3, (8, "corrupt"): 4, (8, "missing"): 6, (50, "surplus"): 1}
+    assert states[None, "intact"] == 297 and states[7, "intact"] == 198 and states[8, "intact"] == 490 and len(got) == len(rows) + 4
+    assert len({r.file_part for r in got if r.page_id is None}) > 3
+    places = defaultdict(list)
+    for r in got:
+        if r.record_index is not None:
+            places[r.file_id, r.file_part].append((r.record_index, r.record_offset, r.record_length))
+    for own in places.values():
+        own.sort()
+        assert [i for i, _, _ in own] == list(range(len(own))) and [o for _, o, _ in own] == [sum(n for _, _, n in own[:k]) for k in range(len(own))]
+    assert {r.state for r in fixity.audit(pages, pages.orderBy(F.rand(1)), file_ids=10, fan=4).collect()} == {"intact"}
+
+
 def test_fixity(spark):
     pages = spark.createDataFrame([(k, f"http://h/{k}", "p" * (k % 50)) for k in range(0, 2600, 2)] + [(4, "http://h/4", "again"), (None, None, None), (-3, "u", "v")], "page_id long, url string, html string")
     from pyspark.sql import functions as F
