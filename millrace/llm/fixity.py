@@ -16,6 +16,9 @@ from millrace.session import ship
 
 #: Ids to a file, and children to a node.
 FILE_IDS, FAN = 1000, 16
+#: Distinct records to an id, on average, beyond which a file is several archives; copies of a record that one task makes at once.
+PART_FILL, COPIES = 4, 10_000
+FILE = ["file_id", "part"]
 
 
 def warc_record(page_id: Column, url: Column, html: Column) -> Column:
@@ -28,19 +31,42 @@ def warc_record(page_id: Column, url: Column, html: Column) -> Column:
     return F.concat(head, body, F.lit("\r\n\r\n"))
 
 
-def records(pages: DataFrame, file_ids: int = FILE_IDS) -> DataFrame:
-    """(page_id, file_id, idx, offset, length, hash): the records of an archive with their place.
+def leaves_of(pages: DataFrame, file_ids: int) -> DataFrame:
+    """(page_id, range, hash, length, n): the distinct records of an archive, and how often each is there.
 
-    A file holds the records of ``file_ids`` successive ids, ordered by id and, for equal ids, by
-    hash; a null id lies in file -1. Only hashes and lengths are shuffled, never payloads.
+    Equal records are counted before anything is shuffled by id, so a record that is there many times is one leaf.
+    Only hashes and lengths are shuffled, never payloads.
     """
     ship(pages.sparkSession)
     record = warc_record(F.col("page_id"), F.col("url"), F.col("html"))
-    leaves = pages.select(F.col("page_id").cast("long").alias("page_id"), F.octet_length(record).cast("long").alias("length"), F.sha2(record, 256).alias("hash"))
-    leaves = leaves.withColumn("file_id", F.coalesce(F.floor(F.col("page_id") / file_ids), F.lit(-1)).cast("long"))
-    order = Window.partitionBy("file_id").orderBy("page_id", "hash")
-    before = F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return leaves.select("page_id", "file_id", (F.row_number().over(order) - 1).cast("long").alias("idx"), before.alias("offset"), "length", "hash")
+    found = pages.select(F.col("page_id").cast("long").alias("page_id"), F.octet_length(record).cast("long").alias("length"), F.sha2(record, 256).alias("hash"))
+    found = found.groupBy("page_id", "hash").agg(F.count("*").alias("n"), F.first("length").alias("length"))
+    return found.withColumn("file_id", F.coalesce(F.floor(F.col("page_id") / file_ids), F.lit(-1)).cast("long"))
+
+
+def file_parts(leaves: DataFrame, file_ids: int) -> DataFrame:
+    """(file_id, parts) of the files with more distinct records than PART_FILL times the ids of a file: repeated ids, or null ones."""
+    return leaves.groupBy("file_id").agg(F.count("*").alias("m")).where(F.col("m") > PART_FILL * file_ids).select("file_id", F.ceil(F.col("m") / (PART_FILL * file_ids)).cast("int").alias("parts"))
+
+
+def records(leaves: DataFrame, parts: DataFrame) -> DataFrame:
+    """(page_id, file_id, part, n, length, hash, idx, offset): distinct records with the place of their first copy.
+
+    A file holds the records of successive ids, ordered by id and hash, a null id lies in file -1; a file in ``parts`` is
+    several archives, to which the records are dealt by hash, so that no task orders an unbounded file.
+    """
+    dealt = leaves.join(parts, "file_id", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("hash"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
+    before = Window.partitionBy(*FILE).orderBy("page_id", "hash").rowsBetween(Window.unboundedPreceding, -1)
+    return dealt.withColumn("idx", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("offset", F.coalesce(F.sum(F.col("n") * F.col("length")).over(before), F.lit(0)))
+
+
+def copies(rows: DataFrame, columns: list[str], first: Column, last: Column) -> DataFrame:
+    """A row for each copy from ``first`` up to ``last``, with its number ``k``; many copies of one record go to many tasks."""
+    chunk = F.explode(F.sequence(F.floor(first / COPIES).cast("long"), F.floor((last - 1) / COPIES).cast("long")))
+    some = rows.where(last > first).select(*columns, first.alias("__a"), last.alias("__b"), chunk.alias("__c"))
+    spread = some.where("__b <= 1").union(some.where("__b > 1").repartition(F.col("__c"), F.col("hash")))
+    inside = F.sequence(F.greatest("__a", F.col("__c") * COPIES), F.least("__b", (F.col("__c") + 1) * COPIES) - 1)
+    return spread.select(*columns, F.explode(inside).alias("k"))
 
 
 def parents(nodes: DataFrame, fan: int, keys: list[str]) -> DataFrame:
@@ -81,29 +107,46 @@ def lifted(levels: list[DataFrame], level: int) -> DataFrame:
 def audit(pages: DataFrame, replica: DataFrame, file_ids: int = FILE_IDS, fan: int = FAN) -> DataFrame:
     """Every record of the primary and every surplus one of the replica, with its place and state.
 
-    state: ``intact``, ``corrupt`` (the replica has other bytes there), ``missing`` (the replica
-    has no record there) or ``surplus`` (only the replica has one, its place is null). A record
-    that is lost or added moves those behind it in its file, so records are matched by id and the
-    number among equal ids; ``file_root`` is the root of the primary's file.
+    state: ``intact``, ``corrupt`` (the replica has other bytes for it), ``missing`` (the replica
+    has no record for it) or ``surplus`` (only the replica has it, its place is null). A record
+    that is lost or added moves those behind it in its file, so records are matched by id: of the records of an id, those
+    of equal bytes match first; what is then left of the primary's, in the order of hashes, is corrupt as long as the
+    replica has any left, then missing; what is left of the replica's is surplus. ``file_root`` is the root of the primary's
+    file. Null ids, repeated ids and repeated records are audited alike, those of one file in several archives (``file_part``)
+    where they are many. A null url or html counts as empty; empty tables give no rows; other columns don't matter.
     """
-    mine, other = materialize(records(pages, file_ids), "records"), materialize(records(replica, file_ids), "records")
-    # Trees are over slots that a loss doesn't shift: the id's place in its file's range, then the copy.
-    slots = [x.withColumn("copy", F.row_number().over(Window.partitionBy("file_id", "page_id").orderBy("idx")) - 1).withColumn("slot", F.coalesce(F.col("page_id") - F.col("file_id") * file_ids, F.lit(0))) for x in (mine, other)]
-    keyed = [x.groupBy("file_id", F.col("slot").alias("idx")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("copy", "hash"))), lambda c: c["hash"]), ","), 256).alias("hash")) for x in slots]
-    ours, theirs = (tree(x, ["file_id"], fan, file_ids) for x in keyed)
+    mine, other = (materialize(leaves_of(x, file_ids), "leaves") for x in (pages, replica))
+    parts = materialize(file_parts(mine.select("file_id", "hash", "page_id").union(other.select("file_id", "hash", "page_id")).distinct(), file_ids), "parts")
+    mine, other = (materialize(records(x, parts).withColumn("slot", F.coalesce(F.col("page_id") - F.col("file_id") * file_ids, F.lit(0))), "records") for x in (mine, other))
+    # Trees are over slots that a loss doesn't shift: the id's place in its file's range.
+    told = F.transform(F.array_sort(F.collect_list(F.struct("hash", "n"))), lambda c: F.when(c["n"] == 1, c["hash"]).otherwise(F.concat(c["hash"], F.lit("*"), c["n"].cast("string"))))
+    keyed = [x.groupBy(*FILE, F.col("slot").alias("idx")).agg(F.sha2(F.array_join(told, ","), 256).alias("hash")) for x in (mine, other)]
+    ours, theirs = (tree(x, FILE, fan, file_ids) for x in keyed)
     tops = [lifted(x, len(x) - 1) for x in (ours, theirs)]
-    roots = tops[0].select("file_id", F.col("hash").alias("file_root"))
-    files = [tree(t.select(F.col("file_id").alias("idx"), "hash").withColumn("all", F.lit(0)), ["all"], fan) for t in tops]
-    bad_files = descend(files[0], files[1], ["all"], fan, None).select(F.col("idx").alias("file_id"))
-    bad = descend(ours, theirs, ["file_id"], fan, bad_files).select("file_id", F.col("idx").alias("slot"))
-    a = slots[0].join(bad.withColumn("bad", F.lit(True)), ["file_id", "slot"], "left")
-    b = slots[1].join(bad, ["file_id", "slot"], "left_semi").select("file_id", "slot", "copy", F.col("hash").alias("replica_hash"), F.col("page_id").alias("replica_page"))
-    joined = a.join(b, ["file_id", "slot", "copy"], "left")
-    state = F.when(F.col("bad").isNull() | (F.col("hash") == F.col("replica_hash")), "intact").when(F.col("replica_hash").isNull(), "missing").otherwise("corrupt")
-    known = joined.select("page_id", "file_id", "idx", "offset", "length", "hash", state.alias("state"))
-    surplus = b.join(slots[0].select("file_id", "slot", "copy"), ["file_id", "slot", "copy"], "left_anti")
+    roots = tops[0].select(*FILE, F.col("hash").alias("file_root"))
+    files = [tree(t.select("part", F.col("file_id").alias("idx"), "hash"), ["part"], fan) for t in tops]
+    bad_files = descend(files[0], files[1], ["part"], fan, None).select(F.col("idx").alias("file_id"), "part")
+    bad = descend(ours, theirs, FILE, fan, bad_files).select("file_id", F.col("idx").alias("slot")).distinct()
+    # In the slots that differ: what matches, and what is left on either side.
+    a = mine.join(bad.withColumn("bad", F.lit(True)), ["file_id", "slot"], "left")
+    b = other.join(bad, ["file_id", "slot"], "left_semi").select("page_id", "hash", F.col("n").alias("m"), "file_id", "part", "slot", "length")
+    matched = a.join(b.select("file_id", "slot", "hash", "m"), ["file_id", "slot", "hash"], "left")
+    matched = materialize(matched.withColumn("good", F.when(F.col("bad").isNull(), F.col("n")).otherwise(F.least("n", F.coalesce("m", F.lit(0))))), "matched")
+    spare = b.join(mine.join(bad, ["file_id", "slot"], "left_semi").select("file_id", "slot", "hash", "n"), ["file_id", "slot", "hash"], "left").withColumn("more", F.col("m") - F.least("m", F.coalesce("n", F.lit(0)))).where("more > 0")
+    lost = matched.where("bad AND n > good").withColumn("gone", F.col("n") - F.col("good"))
+    before = Window.partitionBy("file_id", "slot").orderBy("hash").rowsBetween(Window.unboundedPreceding, -1)
+    have = spare.groupBy("file_id", "slot").agg(F.sum("more").alias("have"))
+    want = lost.groupBy("file_id", "slot").agg(F.sum("gone").alias("want"))
+    lost = lost.withColumn("at", F.coalesce(F.sum("gone").over(before), F.lit(0))).join(have, ["file_id", "slot"], "left")
+    altered = lost.select(*FILE, "slot", "hash", F.least("gone", F.greatest(F.lit(0), F.coalesce("have", F.lit(0)) - F.col("at"))).alias("altered"))
+    spare = spare.withColumn("at", F.coalesce(F.sum("more").over(before), F.lit(0))).join(want, ["file_id", "slot"], "left")
+    spare = spare.withColumn("used", F.least("more", F.greatest(F.lit(0), F.coalesce("want", F.lit(0)) - F.col("at"))))
+    placed = matched.join(altered, [*FILE, "slot", "hash"], "left")
+    known = copies(placed, ["page_id", *FILE, "idx", "offset", "length", "hash", "good", "altered"], F.lit(0).cast("long"), F.col("n"))
+    state = F.when(F.col("k") < F.col("good"), "intact").when(F.col("k") < F.col("good") + F.coalesce("altered", F.lit(0)), "corrupt").otherwise("missing")
+    known = known.select("page_id", *FILE, (F.col("idx") + F.col("k")).alias("idx"), (F.col("offset") + F.col("k") * F.col("length")).alias("offset"), "length", "hash", state.alias("state"))
     none = F.lit(None).cast("long")
-    extra = surplus.select(F.col("replica_page").alias("page_id"), "file_id", none.alias("idx"), none.alias("offset"), none.alias("length"), F.col("replica_hash").alias("hash"), F.lit("surplus").alias("state"))
-    return known.union(extra).join(roots, "file_id", "left").select(
-        "page_id", "file_id", F.col("idx").alias("record_index"), F.col("offset").alias("record_offset"), F.col("length").alias("record_length"), F.col("hash").alias("record_sha256"), "file_root", "state"
+    extra = copies(spare, ["page_id", *FILE, "hash"], F.col("used"), F.col("more")).select("page_id", *FILE, none.alias("idx"), none.alias("offset"), none.alias("length"), "hash", F.lit("surplus").alias("state"))
+    return known.union(extra).join(roots, FILE, "left").select(
+        "page_id", "file_id", F.col("part").alias("file_part"), F.col("idx").alias("record_index"), F.col("offset").alias("record_offset"), F.col("length").alias("record_length"), F.col("hash").alias("record_sha256"), "file_root", "state"
     )
