@@ -16,13 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import column_bytes, inputs, steps, with_rest
+from millrace.llm.common import column_bytes, inputs, materialize, release, steps, with_rest
 
 SPACE, STOP = 0x20, 0xFF
 #: Bytes to their normal form: A-Z to lower case, word bytes kept, the others a space.
 NORMAL = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or 0x80 <= b < 0xFF else SPACE for b in range(256))
-#: Benchmark text that one set of tables is built from; a larger benchmark is searched in such blocks.
-BLOCK_BYTES = 32 << 20
+#: Benchmark text that one set of tables is built from; a larger benchmark is searched in such blocks. A window costs some
+#: 40 bytes beside its text, so the tables of a block take about ten times these bytes at most.
+BLOCK_BYTES = 8 << 20
+#: Words of an item that lie in one piece, apart from the words that it shares with the next one.
+PIECE_WORDS = 1000
 
 
 def normal_words(text: bytes) -> list[bytes]:
@@ -30,27 +33,30 @@ def normal_words(text: bytes) -> list[bytes]:
 
 
 class WuManber:
-    """Tables for patterns of similar length, as numpy arrays."""
+    """Tables for patterns of similar length, given as places in a common text, as numpy arrays."""
 
-    def __init__(self, patterns: list[bytes]) -> None:
-        self.patterns = patterns
-        self.m = m = min(map(len, patterns))
+    def __init__(self, text: bytes, starts: np.ndarray, sizes: np.ndarray) -> None:
+        self.text, raw = text, np.frombuffer(text, np.uint8)
+        self.m = m = min(int(sizes.min()), 64)
         self.block = b = min(8, m)
-        joined = np.frombuffer(b"".join(p[:m] for p in patterns), np.uint8).reshape(-1, m)
-        self.bits = int(np.clip(np.ceil(np.log2(joined.size * 4)), 12, 24))
+        self.bits = int(np.clip(np.ceil(np.log2(len(starts) * m * 4)), 12, 24))
         self.shift = np.full(1 << self.bits, min(m - b + 1, 255), np.uint8)
         for end in range(b, m + 1):
-            part = np.zeros((len(patterns), 8), np.uint8)
-            part[:, :b] = joined[:, end - b : end]
-            np.minimum.at(self.shift, self.key(part.view("<u8")[:, 0]), min(m - end, 255))
-        keys = self.key(part.view("<u8")[:, 0])
+            keys = self.key(self.eight(raw, starts + end - b, b))
+            np.minimum.at(self.shift, keys, min(m - end, 255))
         order = np.argsort(keys, kind="stable")
-        self.bucket_keys, self.bucket_patterns = keys[order], order
-        head = np.zeros((len(patterns), 8), np.uint8)
-        head[:, : min(8, m)] = joined[:, : min(8, m)]
-        self.heads = head.view("<u8")[:, 0][order]
+        self.bucket_keys, self.order = keys[order].astype(np.int32), order.astype(np.int32)
+        self.starts, self.sizes = starts[order].astype(np.int32), sizes[order].astype(np.int32)
+        self.heads = self.eight(raw, self.starts.astype(np.int64), b)
         self.mask = np.uint64((1 << (8 * b)) - 1)
-        self.head_mask = np.uint64((1 << (8 * min(8, m))) - 1)
+
+    @staticmethod
+    def eight(raw: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+        """The ``n`` (8 at most) bytes at each place as a number."""
+        out = np.zeros(len(at), np.uint64)
+        for j in range(n):
+            out |= raw[at + j].astype(np.uint64) << np.uint64(8 * j)
+        return out
 
     def key(self, block: np.ndarray) -> np.ndarray:
         return ((block * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -60,9 +66,10 @@ class WuManber:
 
         Many stretches of the text are searched at once, each with a place of its own.
         """
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
         n = len(text) - 8 - self.m + 1
         if n <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return none
         eight = np.ndarray((len(text) - 7,), "<u8", text.data, 0, (1,))
         step = max(64, -(-n // lanes))
         at = np.arange(0, n, step)
@@ -80,37 +87,55 @@ class WuManber:
             if not alive.all():
                 at, end = at[alive], end[alive]
         if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return none
         where, keys = (np.concatenate(x) for x in zip(*found, strict=True))
         lo = np.searchsorted(self.bucket_keys, keys, "left")
         size = np.searchsorted(self.bucket_keys, keys, "right") - lo
-        heads = eight[where] & self.head_mask
-        hits, whole = [], text.data
-        for k in np.flatnonzero(size):
-            for j in range(lo[k], lo[k] + size[k]):
-                if self.heads[j] == heads[k]:
-                    p = self.patterns[self.bucket_patterns[j]]
-                    if whole[where[k] : where[k] + len(p)] == p:
-                        hits.append((where[k], self.bucket_patterns[j]))
-        out = np.array(hits, np.int64).reshape(-1, 2)
-        return out[:, 0], out[:, 1]
-
-
-def build(items: list[tuple[str, bytes]], width: int) -> list[tuple[WuManber, np.ndarray, list[list[str]]]]:
-    """A searcher for each class of pattern lengths, so that a short item doesn't shorten all jumps."""
-    owners: dict[bytes, set[str]] = defaultdict(set)
-    words_of: dict[bytes, int] = {}
-    for item, text in items:
-        words = normal_words(text)
-        for i in range(max(1, len(words) - width + 1) if words else 0):
-            window = words[i : i + width]
-            pattern = b" " + b" ".join(window) + b" "
-            owners[pattern].add(item)
-            words_of[pattern] = len(window)
-    classes: dict[int, list[bytes]] = defaultdict(list)
-    for p in sorted(owners):
-        classes[min(len(p).bit_length(), 6)].append(p)
-    return [(WuManber(ps), np.array([words_of[p] for p in ps]), [sorted(owners[p]) for p in ps]) for ps in classes.values()]
+        # Every place with every pattern of its bucket that begins alike; then their bytes.
+        place = np.repeat(np.arange(len(where)), size)
+        which = np.arange(len(place)) - np.repeat(np.cumsum(size) - size - lo, size)
+        alike = self.heads[which] == (eight[where] & self.mask)[place]
+        where, which = where[place[alike]], which[alike]
+        whole, own = text.data, self.text
+        same = [whole[w : w + n] == own[s : s + n] for w, s, n in zip(where.tolist(), self.starts[which].tolist(), self.sizes[which].tolist(), strict=True)]
+        same = np.array(same, bool)
+        return where[same], self.order[which[same]].astype(np.int64)
+
+
+def pieces_of(items: DataFrame, width: int) -> DataFrame:
+    """(item_id, piece): each item's normal words, " w1 w2 ... wn ", in pieces that hold every window once; no piece twice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                words = normal_words(text.encode())
+                parts = [words[a : a + PIECE_WORDS + width - 1] for a in range(0, max(1, len(words) - width + 1), PIECE_WORDS)] if words else []
+                yield pa.RecordBatch.from_arrays([pa.array([str(item)] * len(parts), pa.string()), pa.array([b" " + b" ".join(p) + b" " for p in parts], pa.binary())], names=["item_id", "piece"])
+
+    return items.mapInArrow(run, "item_id string, piece binary").distinct()
+
+
+def build(pieces: list[tuple[str, bytes]], width: int) -> list[tuple[WuManber, np.ndarray, np.ndarray, list[str]]]:
+    """For each class of pattern lengths, so that a short item doesn't shorten all jumps: (searcher, words and item of each
+    pattern, items). Patterns are windows of ``width`` words, or all words of a shorter piece."""
+    text = b"".join(p for _, p in pieces) + bytes(8)
+    names = sorted({i for i, _ in pieces})
+    number = {n: k for k, n in enumerate(names)}
+    starts, sizes, words, items = [], [], [], []
+    at = 0
+    for item, piece in pieces:
+        space = np.flatnonzero(np.frombuffer(piece, np.uint8) == SPACE)  # one before each word, and the last
+        n = min(width, len(space) - 1)
+        starts.append(space[: len(space) - n] + at)
+        sizes.append(space[n:] - space[: len(space) - n] + 1)
+        words.append(np.full(len(starts[-1]), n, np.int32))
+        items.append(np.full(len(starts[-1]), number[item], np.int32))
+        at += len(piece)
+    if not starts:
+        return []
+    start, size, word, item = (np.concatenate(x) for x in (starts, sizes, words, items))
+    kind = np.minimum(np.ceil(np.log2(size + 1)).astype(int), 6)
+    return [(WuManber(text, start[own], size[own]), word[own], item[own], names) for own in (kind == k for k in np.unique(kind))]
 
 
 def search(texts: list[bytes], searchers: list) -> Iterator[tuple[int, list[tuple[int, int]], list[str]]]:
@@ -131,14 +156,14 @@ def search(texts: list[bytes], searchers: list) -> Iterator[tuple[int, list[tupl
     total = int(upto[-1])
     change = np.zeros(total + 1, np.int64)
     items: dict[int, set[str]] = defaultdict(set)
-    for tables, words, owners in searchers:
+    for tables, words, owners, names in searchers:
         where, which = tables.find(flat)
         if len(where):
             a = number[where + 1] - 1
             np.add.at(change, a, 1)
             np.add.at(change, a + words[which], -1)
-            for d, p in zip(np.searchsorted(stops, where).tolist(), which.tolist(), strict=True):
-                items[d].update(owners[p])
+            for d, k in set(zip(np.searchsorted(stops, where).tolist(), owners[which].tolist(), strict=True)):
+                items[d].add(names[k])
     hit = np.cumsum(change[:-1]) > 0
     for d in range(len(texts)):
         spans: list[tuple[int, int]] = []
@@ -156,26 +181,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_
     """Per document: words, spans of words inside benchmark windows, and the items they come from.
 
     Words are ``[0-9a-z]`` and all characters from U+0080 on, after lower-casing A-Z. A document
-    without text has no words. Benchmark rows without id or words are ignored; rows that share an
-    id are one item. Each row of ``docs`` gives one row, in any number of repeats; a null doc_id
-    stays null. The benchmark's tables are broadcast only up to ``block_bytes`` of its text; a
-    larger one is split in blocks of that size, searched one by one, whose hits are joined.
-    ``keep``: columns of ``docs`` to carry along, as a struct ``rest``.
+    without text has no words; an empty table gives no rows, an empty benchmark no hits. Benchmark rows without id or words
+    are ignored; rows that share an id are one item. Each row of ``docs`` gives one row, in any number of repeats; a
+    null doc_id stays null. Texts of any length are searched whole. The benchmark's tables are broadcast only up to
+    ``block_bytes`` of its words (long items are cut to pieces first); a larger one is split in blocks of that
+    size, searched one by one, whose hits are joined. Column names beside doc_id and text don't matter.
+    ``keep``: columns of ``docs`` to carry along, as a struct ``rest`` and, for the text, as ``text``.
     """
     spark = docs.sparkSession
-    items = inputs(benchmark, "item_id").withColumnRenamed("doc_id", "item_id").where("item_id IS NOT NULL AND text IS NOT NULL")
-    found = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
-    blocks = max(1, -(-(found[0] + 64 * found[1]) // block_bytes))
+    items = inputs(benchmark.select(F.col("item_id"), F.col("text")), "item_id").select(F.col("doc_id").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
+    pieces = materialize(pieces_of(items, width), "benchmark")
+    size = pieces.agg(F.coalesce(F.sum(F.octet_length("piece")), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // block_bytes))
     source = inputs(docs, keep=keep)
-    schema = with_rest(RESULT, source)
+    schema = with_rest(RESULT, source, keep)
     if blocks > 1:
-        source = source.withColumn("row_key", F.monotonically_increasing_id())
+        blocks += blocks // 4  # hashing deals unevenly
+        source = materialize(source.withColumn("row_key", F.monotonically_increasing_id()), "searched")
         schema = schema.add("row_key", "long")
     carried = tuple(schema.fieldNames()[4:])
     parts = []
     for k in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else items
-        tables = spark.sparkContext.broadcast(build([(str(r.item_id), r.text.encode()) for r in own.toLocalIterator()], width))
+        own = pieces.where(F.pmod(F.xxhash64("item_id", "piece"), F.lit(blocks)) == k) if blocks > 1 else pieces
+        tables = spark.sparkContext.broadcast(build(sorted((r.item_id, bytes(r.piece)) for r in own.toLocalIterator()), width))
 
         def run(batches: Iterator[pa.RecordBatch], tables=tables, names=carried) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -185,6 +213,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_
                     part = batch.slice(a, b - a)
                     cols = [part.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), pa.array([[{"start": s, "length": n} for s, n in r[1]] for r in rows], ARROW.field(2).type), pa.array([r[2] for r in rows], ARROW.field(3).type)]
                     yield pa.RecordBatch.from_arrays([*cols, *[part.column(n) for n in names]], names=[*ARROW.names, *names])
+            release()
 
         parts.append(source.mapInArrow(run, schema))
     if blocks == 1:
