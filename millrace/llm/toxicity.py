@@ -1,34 +1,45 @@
 """Toxicity scores from a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A word enters as learned word and character embeddings and as evidence: how much more often it, and
-its character n-grams, stand in toxic training texts than chance allows. The network reads
-overlapping windows; the highest window decides a document, through a calibration fitted on texts
-the network was not trained on.
+A word enters as a learned embedding, as its character sequence (learned filters over each three characters in a row, each
+filter's highest value), and as evidence: how much more often it, and its character n-grams, stand in toxic training texts than
+chance allows. The network reads overlapping windows; the highest window decides a document, through a calibration fitted
+on texts the network was not trained on.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import BASE, column_bytes, inputs, mix, prefix_hashes, span_hash, steps, with_rest
+from millrace.llm.common import BASE, column_bytes, inputs, mix, pieces, prefix_hashes, release, span_hash, steps, with_rest
 
-#: Labelled rows to fit on, at most, of either label; longer texts are not fitted on.
-FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 1500, 3000, 20_000
+#: Labelled rows to fit on, at most, of either label; of a text of more than FIT_CHARS characters FIT_SLICES pieces, spread over all
+#: of it, which have that many together. (Scoring reads every text whole.)
+FIT_TOXIC, FIT_CLEAN, FIT_CHARS, FIT_SLICES = 1500, 3000, 20_000, 10
 #: Labelled texts below which no network is fitted.
 LEAST_TEXTS = 8
-WINDOW, STRIDE, HIDDEN, EMBED = 64, 32, 8, 6
+WINDOW, STRIDE, HIDDEN, EMBED, FILTERS = 64, 32, 8, 6, 8
 TABLE = 1 << 18
 WORD_ROWS = 4096
 GRAMS = (3, 4, 5)
 SCALARS = 2 + len(GRAMS)
-LETTER = np.array([chr(b).isalnum() and b < 0x80 or b >= 0x80 for b in range(256)])
-LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
+INPUTS = SCALARS + EMBED + FILTERS
+#: Letters and digits to lower case (A-Z), all other ASCII to a space; bytes from 0x80 on are letters.
+SPELT = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
+
+
+class Numbers(dict):
+    """Numbers of words in the order of their first use."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
 
 
 @dataclass
@@ -44,26 +55,20 @@ class Words:
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
-    data = LOWER[data]
-    inside = LETTER[data]
-    fresh = np.zeros(len(data) + 1, bool)
-    fresh[offsets] = True
-    before, after = np.concatenate([[False], inside]), np.concatenate([inside, [False]])
-    starts, ends = np.flatnonzero(after & (~before | fresh)), np.flatnonzero(before & (~after | fresh))
-    edges = np.searchsorted(starts, offsets)
-    keys = np.zeros(len(starts), np.uint64)
-    for a, b in steps(offsets):
-        own = slice(edges[a], edges[b])
-        keys[own] = span_hash(prefix_hashes(data[offsets[a] : offsets[b]]), starts[own] - offsets[a], ends[own] - offsets[a])
-    keys = mix(keys + (ends - starts).astype(np.uint64))
-    known, first, codes = np.unique(keys, return_index=True, return_inverse=True)
+    number = Numbers()
+    codes, edges = [np.zeros(0, np.int32)], [0]
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        n = edges[-1]
+        for piece in pieces(data[a:b].tobytes().translate(SPELT)):
+            words = piece.split()
+            codes.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
+            n += len(words)
+        edges.append(n)
     # The distinct words end to end, each between two spaces, so that n-grams know where words begin and end.
-    size = (ends - starts)[first] + 2
-    stop = np.cumsum(size)
-    own = np.repeat(starts[first] - (stop - size) - 1, size) + np.arange(stop[-1] if len(stop) else 0)
-    spelt = data[np.clip(own, 0, max(0, len(data) - 1))] if len(data) else data
-    spelt[stop - size], spelt[stop - 1] = 0x20, 0x20
-    return Words(codes.astype(np.int32), edges, (known % np.uint64(WORD_ROWS)).astype(np.int32), spelt, stop - size, stop)
+    stop = np.cumsum(np.fromiter((len(w) + 2 for w in number), np.int64, len(number)))
+    spelt = np.frombuffer(b"".join(b" %b " % w for w in number), np.uint8)
+    rows = np.fromiter((crc32(w) % WORD_ROWS for w in number), np.int32, len(number))
+    return Words(np.concatenate(codes), np.array(edges), rows, spelt, np.concatenate([np.zeros(1, np.int64), stop[:-1]])[: len(stop)], stop)
 
 
 def word_keys(w: Words) -> np.ndarray:
@@ -85,6 +90,14 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def parts_of(w: Words, words: int = 20_000) -> Iterator[Words]:
+    """The distinct words in parts, so that what is computed for each of their characters stays small."""
+    for a in range(0, len(w.starts), words):
+        b = min(a + words, len(w.starts))
+        first = w.starts[a]
+        yield Words(w.codes, w.edges, w.word_rows[a:b], w.data[first : w.ends[b - 1]], w.starts[a:b] - first, w.ends[a:b] - first)
+
+
 @dataclass
 class Model:
     evidence: np.ndarray = field(default_factory=lambda: np.zeros((2, TABLE), np.float32))
@@ -92,8 +105,12 @@ class Model:
     slope: float = 1.0
     level: float = 0.0
     constant: float | None = None
+    blank: float = 0.0
 
     def scalars(self, w: Words) -> np.ndarray:
+        return np.concatenate([np.zeros((0, SCALARS), np.float32), *map(self.some_scalars, parts_of(w))])
+
+    def some_scalars(self, w: Words) -> np.ndarray:
         out = np.zeros((len(w.starts), SCALARS), np.float32)
         out[:, 0] = self.evidence[0][word_keys(w)]
         total, number = np.zeros(len(w.starts), np.float32), np.zeros(len(w.starts), np.float32)
@@ -109,17 +126,38 @@ class Model:
         return out
 
     def chars(self, w: Words, of: np.ndarray) -> np.ndarray:
-        """Shares of the bytes in each of the words ``of``."""
-        size = (w.ends - w.starts)[of]
-        word = np.repeat(np.arange(len(of)), size)
-        at = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size) + w.starts[of][word]
-        seen = np.bincount(word * 256 + w.data[at], minlength=256 * len(of)).reshape(-1, 256).astype(np.float32)
-        return seen / np.maximum(size, 1)[:, None]
+        """The filters' highest values over the characters of each of the words ``of``."""
+        word, at = places(w, of)
+        high = np.zeros((len(of), FILTERS), np.float32)
+        if len(word):
+            lead = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            high[word[lead]] = np.maximum(np.maximum.reduceat(filtered(self.p["char"], w, at), lead), 0)
+        return high
+
+    def char_gradient(self, w: Words, of: np.ndarray, high: np.ndarray, d_high: np.ndarray) -> np.ndarray:
+        """Of the filters: where a filter is highest in a word, its three characters get the word's gradient."""
+        word, at = places(w, of)
+        grad = np.zeros_like(self.p["char"])
+        hit, f = np.nonzero((filtered(self.p["char"], w, at) == high[word]) & (high[word] > 0))
+        for j in range(3):
+            np.add.at(grad[j], (w.data[at[hit] + j], f), d_high[word[hit], f])
+        return grad
+
+
+def places(w: Words, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in ``of``, place in the spelt words) of each three characters in a row, boundaries included."""
+    size = (w.ends - w.starts)[of] - 2
+    word = np.repeat(np.arange(len(of)), size)
+    return word, np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size) + w.starts[of][word]
+
+
+def filtered(tables: np.ndarray, w: Words, at: np.ndarray) -> np.ndarray:
+    return tables[0][w.data[at]] + tables[1][w.data[at + 1]] + tables[2][w.data[at + 2]]
 
 
 def fresh_parameters(rnd: np.random.Generator) -> dict[str, np.ndarray]:
-    d = SCALARS + 2 * EMBED
-    p = {"word": rnd.normal(0, 0.05, (WORD_ROWS, EMBED)), "char": rnd.normal(0, 0.3, (256, EMBED)), "out": rnd.normal(0, 0.3, 2 * HIDDEN), "bias": np.zeros(1), "att": rnd.normal(0, 0.3, 2 * HIDDEN)}
+    d = INPUTS
+    p = {"word": rnd.normal(0, 0.05, (WORD_ROWS, EMBED)), "char": rnd.normal(0, 0.3, (3, 256, FILTERS)), "out": rnd.normal(0, 0.3, 2 * HIDDEN), "bias": np.zeros(1), "att": rnd.normal(0, 0.3, 2 * HIDDEN)}
     for side in "fb":
         p |= {f"W{side}": rnd.normal(0, d**-0.5, (d, 3 * HIDDEN)), f"U{side}": rnd.normal(0, HIDDEN**-0.5, (HIDDEN, 3 * HIDDEN)), f"c{side}": np.zeros(3 * HIDDEN)}
     return {k: v.astype(np.float32) for k, v in p.items()}
@@ -180,7 +218,7 @@ def window_logits(m: Model, w: Words, chunk: int = 2048) -> tuple[np.ndarray, np
     g = {s: np.zeros((max(1, len(w.starts)), 3 * HIDDEN), np.float32) for s in "fb"}
     for a in range(0, len(w.starts), 20_000):
         of = np.arange(a, min(a + 20_000, len(w.starts)))
-        x = np.concatenate([scal[of], m.p["word"][w.word_rows[of]], m.chars(w, of) @ m.p["char"]], axis=1)
+        x = np.concatenate([scal[of], m.p["word"][w.word_rows[of]], m.chars(w, of)], axis=1)
         for s in "fb":
             g[s][of] = gates(m.p, s, x)
     out = np.zeros(len(text), np.float32)
@@ -191,32 +229,42 @@ def window_logits(m: Model, w: Words, chunk: int = 2048) -> tuple[np.ndarray, np
     return text, out
 
 
-def text_logits(m: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def text_logits(m: Model, w: Words) -> np.ndarray:
     """The highest window's logit of each text."""
-    text, logit = window_logits(m, words_of(data, offsets))
-    best = np.full(len(offsets) - 1, -np.inf, np.float32)
+    text, logit = window_logits(m, w)
+    best = np.full(len(w.edges) - 1, -np.inf, np.float32)
     np.maximum.at(best, text, logit)
     return best
 
 
+def text_scores(m: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The chance of each text to be toxic; a text without words, of which the network sees nothing, has that of such labelled texts."""
+    w = words_of(data, offsets)
+    return np.where(np.diff(w.edges) > 0, sigmoid(m.slope * text_logits(m, w).astype(np.float64) + m.level), m.blank)
+
+
+def gram_rows(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first gram of each word and the end, rows of the evidence table) as ``gram_keys`` has them."""
+    lead = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.maximum(w.ends - w.starts - n + 1, 0))])
+    rows = [gram_keys(part, n)[1].astype(np.int32) for part in parts_of(w)]
+    return lead, np.concatenate([np.zeros(0, np.int32), *rows])
+
+
 def gather_evidence(w: Words, rows: int, toxic: np.ndarray) -> np.ndarray:
     """How far each word and n-gram is over its expected number of toxic texts, in standard deviations (a fifth of them)."""
     out = np.zeros((2, TABLE), np.float32)
     share = toxic.mean()
-    keys = [word_keys(w), None]
-    grams = [gram_keys(w, n) for n in GRAMS]
-    word, row = (np.concatenate(x) for x in zip(*grams, strict=True))
-    order = np.argsort(word, kind="stable")
-    word, row = word[order], row[order]
-    lead = np.searchsorted(word, np.arange(len(w.starts) + 1))
-    count = np.zeros((2, 2, TABLE))
+    own = [np.unique(w.codes[w.edges[r] : w.edges[r + 1]]) for r in range(rows)]
+    count = np.zeros((2, 2, TABLE), np.int32)
+    keys = word_keys(w)
     for r in range(rows):
-        own = np.unique(w.codes[w.edges[r] : w.edges[r + 1]])
-        y = int(toxic[r])
-        np.add.at(count[0, y], np.unique(keys[0][own]), 1)
-        parts = [row[lead[c] : lead[c + 1]] for c in own.tolist()]
-        if parts:
-            np.add.at(count[1, y], np.unique(np.concatenate(parts)), 1)
+        np.add.at(count[0, int(toxic[r])], np.unique(keys[own[r]]), 1)
+    for n in GRAMS:
+        lead, row = gram_rows(w, n)
+        for r in range(rows):
+            size = lead[own[r] + 1] - lead[own[r]]
+            at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - lead[own[r]], size)
+            np.add.at(count[1, int(toxic[r])], np.unique(row[at]), 1)
     for j in (0, 1):
         expected = count[j].sum(axis=0) * share
         out[j] = np.clip((count[j, 1] - expected) / np.sqrt(expected + 1), -5, 15) / 5
@@ -257,13 +305,13 @@ def train(m: Model, w: Words, toxic: np.ndarray, pick: np.ndarray, moment: dict,
             codes, mask = laid(w.codes, first[pick[k]], size[pick[k]])
             of, codes = np.unique(codes, return_inverse=True)
             codes = codes.reshape(mask.shape)
-            shares = m.chars(w, of)
-            x = np.concatenate([scal[of], p["word"][w.word_rows[of]], shares @ p["char"]], axis=1)
+            high = m.chars(w, of)
+            x = np.concatenate([scal[of], p["word"][w.word_rows[of]], high], axis=1)
             grad = gradients(p, x, codes, mask, labels[k], weight[k] / len(k))
             dx = grad.pop("x")
             grad["word"] = np.zeros_like(p["word"])
             np.add.at(grad["word"], w.word_rows[of], dx[:, SCALARS : SCALARS + EMBED])
-            grad["char"] = shares.T @ dx[:, SCALARS + EMBED :]
+            grad["char"] = m.char_gradient(w, of, high, dx[:, SCALARS + EMBED :])
             moment["steps"] += 1
             for name, g in grad.items():
                 m1, m2 = moment.setdefault(name, [np.zeros_like(p[name]), np.zeros_like(p[name])])
@@ -310,11 +358,11 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, codes: np.ndarray, mask:
     return grad | {"x": d_x}
 
 
-def fit(texts: list[str], toxic: list[int], rounds: int = 4, seed: int = 7) -> Model:
+def fit(texts: list[str], toxic: list[int], rounds: int = 4, seed: int = 7, evidence: bool = True) -> Model:
     """A model of labelled texts: three quarters fit the network, the rest the calibration (all fit both if they are under a thousand).
 
     The network first learns from windows rich in evidence, then, round by round, from the windows that it
-    scores highest, which corrects the clean ones among them.
+    scores highest, which corrects the clean ones among them. Without ``evidence`` it has words and characters only (for comparison).
 
     With fewer than LEAST_TEXTS texts, or one label only, nothing is learned: the model is a constant, the share of toxic texts.
     """
@@ -328,14 +376,18 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 4, seed: int = 7) -> M
     m = Model(p=fresh_parameters(rnd))
     w = words_of(*column_bytes(pa.array([t for t, k in zip(texts, apart, strict=True) if not k], pa.string())))
     m.evidence = gather_evidence(w, int((~apart).sum()), y[~apart])
+    release()
     moment: dict = {"steps": 0}
     pick = richest(m, w, y[~apart], rnd)
+    if not evidence:
+        m.evidence = np.zeros_like(m.evidence)
     train(m, w, y[~apart], pick, moment, rnd)
     for _ in range(rounds - 1):
         pick = np.concatenate([pick, highest(m, w, int((~apart).sum()))])
         train(m, w, y[~apart], pick, moment, rnd, epochs=2)
+    del w
     kept = apart if apart.any() else ~apart
-    best = text_logits(m, *column_bytes(pa.array([t for t, k in zip(texts, kept, strict=True) if k], pa.string())))
+    best = text_logits(m, words_of(*column_bytes(pa.array([t for t, k in zip(texts, kept, strict=True) if k], pa.string()))))
     own = y[kept].astype(np.float64)
     # Logistic fit of the label on the highest window, under the labels' natural shares.
     a, b = 1.0, 0.0
@@ -343,18 +395,27 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 4, seed: int = 7) -> M
         gap = sigmoid(a * best + b) - own
         a, b = a - 0.05 * (gap * best).mean() - 1e-4 * a, b - 0.05 * gap.mean()
     m.slope, m.level = max(float(a), 0.05), float(b)
+    wordless = y[[not t.encode().translate(SPELT).split() for t in texts]]
+    m.blank = float((wordless.sum() + y.mean()) / (len(wordless) + 1))
     return m
 
 
-def sample(docs: DataFrame, labels: DataFrame, most_toxic: int = FIT_TOXIC, most_clean: int = FIT_CLEAN) -> list[tuple[str, int]]:
-    """Labelled texts to fit on: a fixed draw of at most so many of either label, none of a held-out id."""
+def spread(text: F.Column, most_chars: int) -> F.Column:
+    """A text, or, if it has more characters, FIT_SLICES pieces at even distances from its first to its last character."""
+    size, piece = F.char_length(text), most_chars // FIT_SLICES
+    starts = F.transform(F.sequence(F.lit(0), F.lit(FIT_SLICES - 1)), lambda k: F.floor(k * (size - piece) / (FIT_SLICES - 1)).cast("int") + 1)
+    return F.when(size <= most_chars, text).otherwise(F.array_join(F.transform(starts, lambda a: F.substring(text, a, F.lit(piece))), "\n"))
+
+
+def sample(docs: DataFrame, labels: DataFrame, most_toxic: int = FIT_TOXIC, most_clean: int = FIT_CLEAN, most_chars: int = FIT_CHARS) -> list[tuple[str, int]]:
+    """Labelled texts to fit on: a fixed draw of at most so many of either label, none of a held-out id, long ones in pieces."""
     named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL")
     named = named.where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     draw = F.xxhash64("doc_id")
     parts = [named.where(F.col("toxic") == y).orderBy(draw, "doc_id").limit(n) for y, n in ((1, most_toxic), (0, most_clean))]
     chosen = F.broadcast(parts[0].union(parts[1]))  # most_toxic + most_clean rows of two numbers at most
-    texts = inputs(docs).where(F.col("text").isNotNull() & (F.char_length("text") <= FIT_CHARS)).join(chosen, "doc_id")
-    found = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    texts = inputs(docs).where(F.col("text").isNotNull()).join(chosen, "doc_id")
+    found = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).withColumn("text", spread(F.col("text"), most_chars))
     return [(r.text, r.toxic) for r in sorted(found.collect(), key=lambda r: r.doc_id)]
 
 
@@ -365,17 +426,20 @@ def held_out() -> F.Column:
 def fitted(docs: DataFrame, labels: DataFrame, most_toxic: int = FIT_TOXIC, most_clean: int = FIT_CLEAN) -> Model:
     """The model of the labelled texts of ``docs``; a constant where they are too few or of one label."""
     found = sample(docs, labels, most_toxic, most_clean)
-    return fit([t for t, _ in found], [y for _, y in found])
+    model = fit([t for t, _ in found], [y for _, y in found])
+    del found
+    release()
+    return model
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = FIT_TOXIC, most_clean: int = FIT_CLEAN, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs``.
 
-    The network is fitted on the driver on at most ``most_toxic`` and ``most_clean`` labelled texts of up to FIT_CHARS
-    characters, drawn by a hash of their ids, none of them held out (crc32 of the id modulo 5 is 0;
-    a null id isn't). Every window of every whole text is scored. A null or empty text has one
-    empty window, so all of these score alike. Repeated rows score alike; column names beside
-    doc_id and text don't matter. ``keep``: columns of ``docs`` to carry along, as a struct ``rest``.
+    The network is fitted on the driver on at most ``most_toxic`` and ``most_clean`` labelled texts (of one with more than FIT_CHARS
+    characters, pieces from all over it), drawn by a hash of their ids, none of them held out (crc32 of the id modulo 5 is 0;
+    a null id isn't). Every window of every whole text is scored. All texts without
+    words, null and empty ones too, score alike: the share of toxic ones among labelled texts without words, drawn towards that among all. Repeated rows score alike; an empty table gives no rows; column names beside
+    doc_id and text don't matter. ``keep``: columns of ``docs`` to carry along, as a struct ``rest`` and, for the text, as ``text``.
 
     With fewer than LEAST_TEXTS (8) such texts, or one label only, no network is fitted and every row scores the
     share of toxic ones, which says nothing about a text.
@@ -386,7 +450,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = FIT_TOXIC, mo
 def scored(docs: DataFrame, fit_model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
     """``toxicity`` by a model that is there already."""
     source = inputs(docs, keep=keep)
-    schema = with_rest("doc_id long, score double", source)
+    schema = with_rest("doc_id long, score double", source, keep)
     model = docs.sparkSession.sparkContext.broadcast(fit_model)  # of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -397,8 +461,9 @@ def scored(docs: DataFrame, fit_model: Model, keep: tuple[str, ...] = ()) -> Dat
                 if m.constant is not None:
                     score = np.full(b - a, m.constant)
                 else:
-                    score = sigmoid(m.slope * text_logits(m, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]).astype(np.float64) + m.level)
+                    score = text_scores(m, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "score": pa.array(score, pa.float64())} | {c: part.column(c) for c in schema.fieldNames()[2:]})
+        release()
 
     return source.mapInArrow(run, schema).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *schema.fieldNames()[2:])

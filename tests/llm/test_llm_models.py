@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from millrace.llm import extract, quotes, toxicity
+from millrace.llm import extract, toxicity
 from millrace.llm.common import column_bytes
 from millrace.llm.labelled_pages import labelled_page
 
@@ -75,7 +75,7 @@ def toxic_texts(n, seed):
 def test_gradients_match_differences():
     rnd = np.random.default_rng(1)
     p = {k: v.astype(np.float64) for k, v in toxicity.fresh_parameters(rnd).items()}
-    x = rnd.normal(0, 1, (6, toxicity.SCALARS + 2 * toxicity.EMBED))
+    x = rnd.normal(0, 1, (6, toxicity.INPUTS))
     codes = rnd.integers(0, 6, (5, 4))
     mask = np.arange(5)[:, None] < np.array([5, 3, 1, 4])
     labels, weight = np.array([1.0, 0, 1, 0]), np.array([0.3, 0.2, 0.4, 0.1])
@@ -97,6 +97,79 @@ def test_gradients_match_differences():
         assert grad[name][at] == pytest.approx((up - down) / (2 * step), abs=2e-4)
 
 
+def test_char_gradient_matches_differences():
+    rnd = np.random.default_rng(4)
+    m = toxicity.Model(p=toxicity.fresh_parameters(rnd))
+    m.p["char"] = m.p["char"].astype(np.float64)
+    w = toxicity.words_of(*column_bytes(pa.array(["the miller grinds the corn", "a"])))
+    of = np.array([4, 0, 1, 2])
+    d = rnd.normal(0, 1, (4, toxicity.FILTERS))
+    value = lambda: np.stack([np.maximum(toxicity.filtered(m.p["char"], w, at[word == k]).max(axis=0), 0) for k in range(4)])
+    word, at = toxicity.places(w, of)
+    grad = m.char_gradient(w, of, value(), d)
+    for _ in range(40):
+        k = tuple(rnd.integers(0, n) for n in m.p["char"].shape[::2])
+        place = (k[0], int(rnd.choice(w.data)), k[1])
+        old = m.p["char"][place]
+        m.p["char"][place] = old + 1e-6
+        up = (value() * d).sum()
+        m.p["char"][place] = old - 1e-6
+        down = (value() * d).sum()
+        m.p["char"][place] = old
+        assert grad[place] == pytest.approx((up - down) / 2e-6, abs=1e-5)
+    assert w.codes.tolist() == [0, 1, 2, 0, 3, 4] and w.edges.tolist() == [0, 5, 6]
+    assert np.abs(grad).sum() > 0 and np.allclose(m.chars(w, of), value(), atol=1e-5)
+
+
+def plain_logit(m, text):
+    """The network as loops over windows, words and states."""
+    words = text.encode().translate(toxicity.SPELT).split()
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    best = -np.inf
+    for a in range(0, max(1, len(words) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE):
+        own = words[a : a + toxicity.WINDOW]
+        inputs = []
+        for word in own:
+            w = toxicity.words_of(*column_bytes(pa.array([word.decode()])))
+            spelt = b" " + word + b" "
+            chars = [max(0.0, max(float(sum(m.p["char"][j][spelt[k + j]][f] for j in range(3))) for k in range(len(spelt) - 2))) for f in range(toxicity.FILTERS)]
+            inputs.append(np.concatenate([m.scalars(w)[0], m.p["word"][toxicity.crc32(word) % toxicity.WORD_ROWS], chars]))
+        h = toxicity.HIDDEN
+        states = {}
+        for side, order in (("f", range(len(own))), ("b", range(len(own) - 1, -1, -1))):
+            s, out = np.zeros(h), {}
+            for t in order:
+                g, u = inputs[t] @ m.p[f"W{side}"] + m.p[f"c{side}"], s @ m.p[f"U{side}"]
+                z, r = sig(g[:h] + u[:h]), sig(g[h : 2 * h] + u[h : 2 * h])
+                c = np.tanh(g[2 * h :] + r * u[2 * h :])
+                s = z * s + (1 - z) * c
+                out[t] = s
+            states[side] = out
+        rows = [np.concatenate([states["f"][t], states["b"][t]]) for t in range(len(own))] or [np.zeros(2 * h)]
+        score = np.array([x @ m.p["att"] for x in rows])
+        weight = np.exp(score - score.max())
+        pooled = sum(k * x for k, x in zip(weight / weight.sum(), rows, strict=True))
+        best = max(best, float(pooled @ m.p["out"] + m.p["bias"][0]))
+    return best
+
+
+def test_scores_equal_plain_loops():
+    texts, labels = toxic_texts(120, 9)
+    m = toxicity.fit(texts, labels, rounds=1)
+    cases = ["", texts[0], texts[1], " ".join(texts[:3]), "VILEST, grubby-oaf é!"]
+    got = toxicity.text_logits(m, toxicity.words_of(*column_bytes(pa.array(cases))))
+    assert np.allclose(got, [plain_logit(m, t) for t in cases], atol=1e-3)
+
+
+def test_long_labelled_texts_are_fitted_on(spark):
+    from pyspark.sql import functions as F
+
+    text = "".join(chr(97 + k % 26) for k in range(1000))
+    got = spark.createDataFrame([(text,), ("short",)], "t string").select(toxicity.spread(F.col("t"), 100)).collect()
+    parts = got[0][0].split("\n")
+    assert got[1][0] == "short" and len(parts) == 10 and parts[0] == text[:10] and parts[-1] == text[-10:] and all(p in text for p in parts)
+
+
 def test_windows_cover_whole_texts():
     edges = np.cumsum([0, 0, 1, 64, 65, 500])
     text, first, size = toxicity.windows(edges)
@@ -126,33 +199,6 @@ def test_toxicity_held_out(spark):
 def test_a_text_scores_alike_in_any_batch():
     texts, labels = toxic_texts(300, 6)
     m = toxicity.fit(texts, labels, rounds=1)
-    whole = toxicity.text_logits(m, *column_bytes(pa.array(texts[:20])))
-    alone = [toxicity.text_logits(m, *column_bytes(pa.array([t])))[0] for t in texts[:20]]
+    whole = toxicity.text_logits(m, toxicity.words_of(*column_bytes(pa.array(texts[:20]))))
+    alone = [toxicity.text_logits(m, toxicity.words_of(*column_bytes(pa.array([t]))))[0] for t in texts[:20]]
     assert np.allclose(whole, alone, atol=1e-4)
-
-
-def test_quotes(spark):
-    rows = [
-        (1, 0, "user", "Shall we  meet\non Monday?"),
-        (1, 1, "assistant", "On Friday Ann wrote:\n\n> shall we meet\n> On Monday?\n\nYes.\nAt noon."),
-        (1, 2, "user", ">> on monday?\n> at NOON.\nFine"),
-        (1, 3, "user", "> nobody said this\nOther"),
-        (1, 4, "user", "no quotes: 3 > 2"),
-        (1, 5, "user", "> fine"),
-        (2, 0, "user", "> fine\nAnother conversation"),
-        (None, 0, "user", "> fine"),
-        (3, 0, "user", None),
-        (3, 0, "user", None),
-    ]
-    df = spark.createDataFrame([(*r, "k") for r in rows], "conv_id long, turn long, role string, text string, key string")
-    got = {(r.conv_id, r.turn): r for r in quotes.link_quotes(df).collect()}
-    assert [(got[1, k].text, got[1, k].reply_to, got[1, k].thread, got[1, k].reply_depth, got[1, k].n_quoted, got[1, k].n_linked, got[1, k].quote_depth) for k in range(6)] == [
-        ("Shall we  meet\non Monday?", None, 0, 0, 0, 0, 0),
-        ("Yes.\nAt noon.", 0, 0, 1, 2, 2, 1),
-        ("Fine", 1, 0, 2, 2, 2, 2),
-        ("Other", None, 3, 0, 1, 0, 1),
-        ("no quotes: 3 > 2", None, 4, 0, 0, 0, 0),
-        ("", 2, 0, 3, 1, 1, 1),
-    ]
-    assert got[2, 0].reply_to is None and got[None, 0].reply_to is None and got[3, 0].text == ""
-    assert quotes.link_quotes(df).count() == len(rows) and quotes.link_quotes(df.limit(0)).count() == 0
