@@ -126,7 +126,8 @@ def assign(docs: DataFrame, shards: int = 16, rounds: int = 4) -> DataFrame:
 
     The law is ``rows``: the shards' numbers of rows are at most one apart. Equal texts are neighbours and
     go to one shard as far as its size allows; a null text has none. size: UTF-8 bytes of the text (null: 0) plus 1; slots
-    are gapless from 0. Repeated rows are rows of their own. Empty input gives no rows.
+    are gapless from 0. Repeated rows are rows of their own. Empty input gives no rows. Column names beside doc_id and text
+    don't matter; of a text only its size and hashes are moved, however long it is.
 
     A group of over an eighth of a shard is split only where no shard has room for it, and then over as few as that
     allows. Of the other groups, one at most is split at the end of each shard.
@@ -146,7 +147,7 @@ def assign(docs: DataFrame, shards: int = 16, rounds: int = 4) -> DataFrame:
     inside = (F.col("number") >= F.col("first")) & (F.col("number") < F.col("end"))
     whole = ranked.join(F.broadcast(parts), "grp").where(inside).select("salt", "shard", (F.col("number") + F.col("shift")).alias("slot"))  # 17 parts a shard at most
     small = linked.where(F.col("m") <= limit)
-    stay = materialize(settled(propagate(small, shards, room, rounds), n, room), "stay")
+    stay = materialize(settled(propagate(small, shards, room, rounds), small.count(), room), "stay")
     count = {r.shard: r.n for r in stay.groupBy("shard").agg(F.count("*").alias("n")).collect()}
     held = [t - r + count.get(s, 0) for s, (t, r) in enumerate(zip(target, room, strict=True))]
     stay = stay.select("salt", "shard", (F.col("number") + at_shard([t - r for t, r in zip(target, room, strict=True)])).alias("slot"))
