@@ -18,17 +18,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, jaccard, pack, suffix_dedup, toxicity
-from millrace.llm.common import materialize, shared_dir
+from millrace.llm.common import carried, materialize, shared_dir
 from millrace.llm.queries import vocabulary_path
-from millrace.session import table
+from millrace.session import scratch, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows stay where the labels are too few, or of one kind, to learn from."""
+    """Rows that the network scores 0.5 or more go; repeated rows go or stay together, a null text is scored like an empty one.
+
+    All rows stay where the labels are too few, or of one kind, to learn from.
+    """
     model = toxicity.fitted(docs, table(spark, sf_dir, "labels"))
     if model.constant is not None:
         return docs
-    return toxicity.scored(docs, model, keep=tuple(docs.columns)).where("predicted = 0").select("rest.*")
+    return toxicity.scored(docs, model, keep=tuple(docs.columns)).where("predicted = 0").select(*carried(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,15 +56,17 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that lose nothing keep their text as it was, null too; emptied documents stay, empty."""
     found = suffix_dedup.without_repeats(docs, as_text=True, keep=tuple(docs.columns))
     cut = F.size("spans") > 0
-    changed = {"text": F.when(cut, F.col("kept")).otherwise(F.col("rest.text")), "n_chars": F.when(cut, F.char_length("kept")).otherwise(F.col("rest.n_chars")).cast("long")}
+    changed = {"text": F.when(cut, F.col("kept")).otherwise(F.col("text")), "n_chars": F.when(cut, F.char_length("kept")).otherwise(F.col("rest.n_chars")).cast("long")}
     return found.select(*[changed[c].alias(c) if c in changed else F.col("rest")[c].alias(c) for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns)).where("size(spans) = 0").select("rest.*")
+    """Rows with a window of a benchmark item go; a null or empty text has none and stays; an empty benchmark drops nothing."""
+    return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns)).where("size(spans) = 0").select(*carried(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of a row's text: every row has one at least, an empty or null text the one id that ends a document."""
     return pack.digest(pack.pack(docs, vocabulary_path()))
 
 
@@ -78,10 +83,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each returns is written to the shared folder and read again."""
+    """All stages over ``documents``; what each returns is written to the shared folder and read again.
+
+    What a stage wrote for itself goes when it has ended. An empty table gives an empty result.
+    """
     docs = table(spark, sf_dir, "documents")
     base = f"{shared_dir(spark)}/millrace-pipeline-{uuid.uuid4().hex[:12]}"
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
     return docs

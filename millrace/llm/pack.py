@@ -7,6 +7,7 @@ without knowing of the other workers; nothing is shuffled.
 
 from __future__ import annotations
 
+import json
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -18,12 +19,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import inputs
+from millrace.llm.common import inputs, release
 
-#: Texts between spaces, and words without their punctuation, whose ids a worker remembers; beyond that it starts afresh.
-CACHE_CHUNKS, CACHE_WORDS = 400_000, 800_000
+#: Texts between spaces, and words without their punctuation, whose ids a worker remembers, and the longest of them;
+#: beyond that it starts afresh. An entry takes some 200 bytes, so both together stay under 80 MB.
+CACHE_CHUNKS, CACHE_WORDS, CACHED_LENGTH = 150_000, 200_000, 100
 #: Marks that, after a letter or digit, are ids of their own whatever stands before them.
 MARKS = ".,!?;:%&$*#)"
+#: How the word-level vocabulary splits a text (a fixed value of that vocabulary).
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 NAMES = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 _CACHES: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
@@ -60,6 +64,27 @@ def encode(path: str, words: list[str]) -> Iterator[tuple[str, bytes]]:
             yield w, array("I", e.ids).tobytes()
 
 
+@lru_cache(4)
+def by_word(path: str) -> bool:
+    """Whether a vocabulary splits texts as ``word_ids`` does: case and white space dropped, letters apart from marks."""
+    told = json.loads(tokenizer(path).to_str())
+    names = [x.get("type") for x in (told["normalizer"] or {}).get("normalizers", [])]
+    steps = (told["pre_tokenizer"] or {}).get("pretokenizers", [])
+    split = steps[0] if steps else {}
+    return (
+        names == ["NFC", "Replace", "Lowercase"] and split.get("pattern", {}).get("Regex") == SPLIT and split.get("behavior") == "Removed" and bool(split.get("invert"))
+        and steps[1].get("type") == "ByteLevel" and not steps[1].get("add_prefix_space") and not any(c.isspace() for t in told["added_tokens"] for c in t["content"])
+        and told["model"]["type"] == "BPE" and not told["post_processor"]
+    )
+
+
+def text_ids(path: str, texts: list[str]) -> list[bytes]:
+    """Ids of each text as little-endian 32-bit numbers; word by word where the vocabulary allows it, whole otherwise."""
+    if by_word(path):
+        return word_ids(path, texts)
+    return [np.array(e.ids, "<u4").tobytes() for e in tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
+
+
 def word_ids(path: str, texts: list[str]) -> list[bytes]:
     """Ids of each text as 32-bit numbers of the machine's order (little-endian here).
 
@@ -85,7 +110,12 @@ def word_ids(path: str, texts: list[str]) -> list[bytes]:
     words.update(encode(path, todo))
     for c, core, tail in parts:
         chunks[c] = words[core] + words[tail]
-    return [b"".join(map(chunks.__getitem__, found)) for found in split]
+    out = [b"".join(map(chunks.__getitem__, found)) for found in split]
+    for c, core, tail in parts:
+        if len(c) > CACHED_LENGTH:
+            for known, word in ((chunks, c), (words, core), (words, tail)):
+                known.pop(word, None)
+    return out
 
 
 @lru_cache(8)
@@ -180,11 +210,13 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int | N
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
                 texts = [t or "" for t in part.column("text").to_pylist()]
-                for doc, ids in zip(part.column("doc_id").to_pylist(), word_ids(vocabulary, texts), strict=True):
+                for doc, ids in zip(part.column("doc_id").to_pylist(), text_ids(vocabulary, texts), strict=True):
                     packer.add(doc, ids + end)
                 yield out()
         packer.finish()
         yield out()
+        _CACHES.clear()  # a worker outlives its task
+        release()
 
     return inputs(docs).mapInArrow(run, PIECES)
 
