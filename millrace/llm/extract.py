@@ -250,8 +250,8 @@ def extract(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages``.
 
     text: the blocks labelled article, joined by line feeds; empty for a null or empty page and where no block is
-    article. n_chars: its code points. Repeated rows and null ids or urls pass through; other
-    columns don't matter.
+    article. n_chars: its code points. Repeated rows and null ids or urls pass through; an empty table gives no rows; a
+    page of any length is read whole; other columns, whatever their names, don't matter.
     """
     ship(pages.sparkSession)
     model = pages.sparkSession.sparkContext.broadcast(trained(train_pages))  # a few hundred weights

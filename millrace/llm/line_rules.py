@@ -102,14 +102,14 @@ def measured(docs: DataFrame, host_col: str, window: int) -> DataFrame:
 
 
 def line_rules(
-    docs: DataFrame, host_col: str = "source", min_words: int = 20, most_repeated: int = 30, window: int = 8, min_docs: int = 20, max_share: float = 0.1, min_left: float = 0.5
+    docs: DataFrame, host_col: str = "source", min_words: int = 20, most_repeated: int = 30, window: int = 8, min_docs: int = 20, root: float = 2.0, min_left: float = 0.5
 ) -> DataFrame:
     """Per row of ``docs`` the base counts, base_failed, the lines to remove, and kept.
 
     Words are what white space separates. base_failed: fewer than ``min_words`` words, or more than
     ``most_repeated`` per cent of them in ``window``-word windows found twice. A line (its lower-cased words) is
-    removed where more than ``min_docs`` documents of its host, and more than ``max_share`` of
-    them, hold it; each row is a document, copies of a text too. kept: not base_failed, and after the removal
+    removed where more than ``min_docs`` documents of its host, and more than ``root`` times the square root of their
+    number, hold it (so the limit grows with a host, but slower than boilerplate does); each row is a document, copies of a text too. kept: not base_failed, and after the removal
     ``min_words`` words and ``min_left`` of the words are left. ``removed``: numbers, from 0, of those among the
     lines that hold a word. A null text has no words; a null host is a host of its own (""); each
     repeated row gives a row; an empty table gives none. A text of any length is measured whole. Column names
@@ -118,7 +118,7 @@ def line_rules(
     rows = materialize(measured(docs, host_col, window).withColumn("row", F.monotonically_increasing_id()), "lines")
     holders = rows.select("host", F.explode("own_keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("holders")).where(F.col("holders") > min_docs)
     hosts = rows.groupBy("host").agg(F.count("*").alias("docs"))
-    flagged = materialize(holders.join(hosts, "host").where(F.col("holders") > max_share * F.col("docs")).select("host", "key"), "flagged")
+    flagged = materialize(holders.join(hosts, "host").where(F.col("holders") > root * F.sqrt("docs")).select("host", "key"), "flagged")
     few = flagged.count() <= BROADCAST_ROWS
     lines = rows.select("row", "host", F.posexplode(F.arrays_zip("line_keys", "line_words")).alias("at", "line")).select("row", "host", "at", F.col("line.line_keys").alias("key"), F.col("line.line_words").alias("words"))
     lost = lines.join(F.broadcast(flagged) if few else flagged, ["host", "key"]).groupBy("row").agg(F.sum("words").alias("lost"), F.array_sort(F.collect_list("at")).alias("removed"))

@@ -98,7 +98,7 @@ ll AS (SELECT r, host, t, line, array_to_string(lw, ' ') AS norm, len(lw) AS wor
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM ll GROUP BY r),
 held AS (SELECT host, norm, count(DISTINCT r) AS holders FROM ll GROUP BY 1, 2),
 hosts AS (SELECT host, count(*) AS docs FROM d GROUP BY 1),
-flag AS (SELECT held.host, norm FROM held JOIN hosts USING (host) WHERE holders > 20 AND holders > 0.1 * docs),
+flag AS (SELECT held.host, norm FROM held JOIN hosts USING (host) WHERE holders > 20 AND holders > 2.0 * sqrt(docs)),
 lost AS (SELECT r, sum(words) AS lost, count(*) AS gone FROM ll JOIN flag USING (host, norm) GROUP BY r),
 f AS (
   SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(array_to_string(w, '')) AS BIGINT) AS word_chars,

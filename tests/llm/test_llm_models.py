@@ -57,6 +57,31 @@ def test_extract(spark):
     assert extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_extraction_agrees_with_article_elements():
+    """The test tables' pages keep their main text in article elements; the field must find the same blocks."""
+    import os
+
+    import pyarrow.parquet as pq
+
+    path = "/root/testdata/sf0.01/pages.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    field = extract.trained()
+    right = total = 0
+    for html in pq.read_table(path).column("html").to_pylist():
+        page = extract.blocks(html or "")
+        labels = field.decode(extract.features(page))
+        right += sum(("in:article" in b[1]) == bool(y) for b, y in zip(page, labels, strict=True))
+        total += len(page)
+    assert total > 1000 and right >= 0.99 * total
+
+
+def test_extract_long_page(spark):
+    long = "<html><body><nav><a href='/'>Home</a></nav><article>" + "<p>Some words of the article, again and again.</p>" * 20_000 + "</article></body></html>"
+    got = extract.extract(spark.createDataFrame([(1, "u", long)], "page_id long, url string, html string")).first()
+    assert got.text.count("\n") == 19_999 and got.n_chars == len(got.text)
+
+
 def toxic_texts(n, seed):
     rnd = random.Random(seed)
     vocab = ["".join(rnd.choice("abdeilnorst") for _ in range(rnd.randint(2, 8))) for _ in range(400)]

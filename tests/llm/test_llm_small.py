@@ -90,7 +90,7 @@ def test_long_words_are_told_apart(spark, size):
     docs = spark.createDataFrame([(1, f"{one} {rest}"), (2, f"{two} {rest}"), (3, f"{one} {rest}")], "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 1}
     lines = [" ".join("ab"[b == "b"] for b in x) for x in (one, two)]
-    got = line_rules.line_rules(spark.createDataFrame([(k, lines[k % 2], "h") for k in range(60)], "doc_id long, text string, source string"), min_docs=40, max_share=0.1).collect()
+    got = line_rules.line_rules(spark.createDataFrame([(k, lines[k % 2], "h") for k in range(60)], "doc_id long, text string, source string"), min_docs=40, root=1.0).collect()
     assert all(r.removed == [] for r in got)
     from millrace.llm import toxicity
     from millrace.llm.common import column_bytes
@@ -281,7 +281,7 @@ def test_line_rules(spark):
         grams = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
         rep = {p for k in range(len(w) - 7) if grams[tuple(w[k : k + 8])] > 1 for p in range(k, k + 8)}
         lines = [x for x in t.split("\n") if WORDS.search(x)]
-        gone = [k for k, x in enumerate(lines) if len(held[h or "", norm(x)]) > max(20, 0.1 * docs[h or ""])]
+        gone = [k for k, x in enumerate(lines) if len(held[h or "", norm(x)]) > max(20, 2 * docs[h or ""] ** 0.5)]
         left = len(w) - sum(len(WORDS.findall(lines[k])) for k in gone)
         failed = len(w) < 20 or 100 * len(rep) > 30 * len(w)
         want.append((i, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(rep), failed, gone, not failed and left >= 20 and left >= 0.5 * len(w)))

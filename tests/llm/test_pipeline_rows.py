@@ -30,3 +30,19 @@ def test_near_duplicates_by_row(spark, tmp_path):
     one_of = [r for r in got if r[1] in (text["b"], text["b"] + " end")]
     want = [(1, text["a"]), (5, text["c"]), (3, text["d"]), (7, text["e"]), (8, text["f"]), (None, None), (9, ""), (9, "")]
     assert len(one_of) == 1 and sorted(map(str, got)) == sorted(map(str, want + one_of))
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_empty_table_and_repeated_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    text = " ".join(f"word{k}" for k in range(60))
+    for name, rows in (("none", []), ("repeated", [(1, text)] * 3 + [(2, "short text")] * 2 + [(None, None)] * 2)):
+        d = tmp_path / name
+        spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA).write.parquet(str(d / "documents.parquet"))
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(d / "labels.parquet"))
+        spark.createDataFrame([], "item_id long, text string").write.parquet(str(d / "benchmark.parquet"))
+        got = sorted(map(str, (r.doc_id for r in corpus_pipeline.run(spark, str(d)).collect())))
+        assert got == ([] if not rows else ["1", "2", "None", "None"])
