@@ -120,21 +120,21 @@ OP8_WORDS = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abc
 OP8_SQL = rf"""
 WITH RECURSIVE m AS (SELECT row_number() OVER () AS r, conv_id, turn, role, coalesce(text, '') AS t, regexp_matches(coalesce(text, ''), '(?m)^[ \t]*(?:>[ \t]?)+') AS quotes FROM conversations),
 l AS (
-  SELECT r, conv_id, turn, unnest(generate_series(1, len(ls))) AS at, unnest(ls) AS line
+  SELECT r, conv_id, turn, unnest(generate_series(1, len(ls))) AS place, unnest(ls) AS line
   FROM (SELECT *, string_split(t, chr(10)) AS ls FROM m WHERE turn IS NOT NULL AND conv_id IN (SELECT conv_id FROM m WHERE quotes AND turn IS NOT NULL))),
 e AS (
   SELECT *, len(regexp_replace(marks, '[^>]', '', 'g')) AS depth, substr(line, len(marks) + 1) AS body FROM (SELECT *, regexp_extract(line, '^[ \t]*(?:>[ \t]?)+') AS marks FROM l)),
 f AS (
-  SELECT *, CASE WHEN depth <> lag(depth) OVER (PARTITION BY r ORDER BY at) THEN 1 ELSE 0 END AS fresh,
-    first_value(CASE WHEN depth > 0 OR regexp_matches(line, '[^\x20\x09-\x0D]') THEN depth END IGNORE NULLS) OVER (PARTITION BY r ORDER BY at ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS following FROM e),
+  SELECT *, CASE WHEN depth <> lag(depth) OVER (PARTITION BY r ORDER BY place) THEN 1 ELSE 0 END AS fresh,
+    first_value(CASE WHEN depth > 0 OR regexp_matches(line, '[^\x20\x09-\x0D]') THEN depth END IGNORE NULLS) OVER (PARTITION BY r ORDER BY place ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS following FROM e),
 g AS (
-  SELECT *, sum(fresh) OVER (PARTITION BY r ORDER BY at) AS run,
+  SELECT *, sum(fresh) OVER (PARTITION BY r ORDER BY place) AS run,
     depth = 0 AND regexp_matches(line, '(?i)^\s*(?:on\b.*\bwrote|.*\b(?:wrote|schrieb|a écrit|escribió))\s*:\s*$') AND coalesce(following > 0, false) AS named FROM f),
-pw AS (SELECT r, conv_id, turn, run, depth, {OP8_WORDS.format("string_agg(body, ' ' ORDER BY at)")} AS w FROM g WHERE depth > 0 GROUP BY r, conv_id, turn, run, depth),
+pw AS (SELECT r, conv_id, turn, run, depth, {OP8_WORDS.format("string_agg(body, ' ' ORDER BY place)")} AS w FROM g WHERE depth > 0 GROUP BY r, conv_id, turn, run, depth),
 pk AS (SELECT DISTINCT r, conv_id, turn, run, depth, array_to_string(w[i:i + 4], ' ') AS key FROM (SELECT *, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM pw WHERE len(w) > 0)),
 own AS (SELECT * FROM g WHERE depth = 0 AND NOT named),
 ow AS (
-  SELECT r, conv_id, turn, {OP8_WORDS.format("string_agg(line, ' ' ORDER BY at)")} AS w FROM own GROUP BY r, conv_id, turn
+  SELECT r, conv_id, turn, {OP8_WORDS.format("string_agg(line, ' ' ORDER BY place)")} AS w FROM own GROUP BY r, conv_id, turn
   UNION ALL SELECT * FROM (SELECT r, conv_id, turn, {OP8_WORDS.format("line")} AS w FROM own) WHERE len(w) < 5),
 sk AS (SELECT DISTINCT r, conv_id, turn, array_to_string(w[i:i + 4], ' ') AS key FROM (SELECT *, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM ow WHERE len(w) > 0)),
 met AS (SELECT p.r, p.run, p.depth, p.key, arg_max(s.r, (s.turn, s.r)) AS origin FROM pk p JOIN sk s ON s.conv_id = p.conv_id AND s.key = p.key AND s.turn < p.turn GROUP BY p.r, p.run, p.depth, p.key),
@@ -147,10 +147,10 @@ th AS (SELECT r, parent AS head, 1 AS k FROM rp UNION ALL SELECT th.r, rp.parent
 hd AS (SELECT r, arg_max(head, k) AS head, max(k) AS depth FROM th GROUP BY r),
 mem AS (SELECT r, head, depth FROM hd UNION SELECT head, head, 0 FROM hd),
 pos AS (SELECT mem.r, mem.depth, h.turn AS thread, row_number() OVER (PARTITION BY mem.head ORDER BY x.turn, x.r) - 1 AS position FROM mem JOIN m x ON x.r = mem.r JOIN m h ON h.r = mem.head),
-cl AS (SELECT r, regexp_replace(string_agg(line, chr(10) ORDER BY at), '^\n+|\n+$', '', 'g') AS own FROM own GROUP BY r),
+cl AS (SELECT r, regexp_replace(string_agg(line, chr(10) ORDER BY place), '^\n+|\n+$', '', 'g') AS own FROM own GROUP BY r),
 pc AS (SELECT r, count(DISTINCT run) AS n, max(depth) AS depth FROM pk GROUP BY r),
 lc AS (SELECT r, count(*) AS n FROM lk GROUP BY r)
-SELECT m.conv_id, m.turn, m.role, CASE WHEN quotes AND m.conv_id IS NOT NULL AND m.turn IS NOT NULL THEN coalesce(cl.own, '') ELSE t END AS text,
+SELECT m.conv_id, m.turn, m.role, CASE WHEN m.quotes AND m.conv_id IS NOT NULL AND m.turn IS NOT NULL THEN coalesce(cl.own, '') ELSE m.t END AS text,
   coalesce(pc.n, 0) AS n_quoted, coalesce(lc.n, 0) AS n_linked, CAST(coalesce(pc.depth, 0) AS BIGINT) AS quote_depth, o.turn AS reply_to, coalesce(pos.thread, m.turn) AS thread,
   CAST(coalesce(pos.depth, 0) AS BIGINT) AS reply_depth, coalesce(pos.position, 0) AS position
 FROM m LEFT JOIN cl USING (r) LEFT JOIN pc USING (r) LEFT JOIN lc USING (r) LEFT JOIN rp USING (r) LEFT JOIN m o ON o.r = rp.parent LEFT JOIN pos ON pos.r = m.r
